@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quern.llm import quality_rules, url_filter
+from quern.llm import mixing, quality_rules, url_filter, warc
 
 QUERIES = {
+    "op5_mixing": mixing.op5_mixing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_warc": warc.op10_warc,
 }
 
 SQL = {
     "op9_url_filter": url_filter.SQL,
+    "op10_warc": warc.SQL,
 }
