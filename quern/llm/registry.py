@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quern.llm import mixing, quality_rules, url_filter, warc
+from quern.llm import mixing, quality_rules, simhash, url_filter, warc
 
 QUERIES = {
     "op5_mixing": mixing.op5_mixing,
+    "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_warc": warc.op10_warc,
