@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, mixing, quality_rules, simhash, url_filter, warc
+from quern.llm import bpe, embedding_dedup, mixing, quality_rules, simhash, url_filter, warc
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": quality_rules.op7_quality_rules,
