@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -70,3 +71,13 @@ def let(value: Column, body) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop shuffle files that nothing refers to any more.
+
+    They go when the driver's garbage is collected, which between large steps
+    may be long after their last use.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, embedding_dedup, mixing, quality_rules, simhash, url_filter, warc
+from quern.llm import bpe, embedding_dedup, mixing, quality_rules, simhash, suffix_dedup, url_filter, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op5_mixing": mixing.op5_mixing,
