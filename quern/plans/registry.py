@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import tpch
+from quern.plans import operator_queries, tpch
 
-QUERIES = dict(tpch.QUERIES)
-SQL = dict(tpch.SQL)
+QUERIES = tpch.QUERIES | operator_queries.QUERIES
+SQL = tpch.SQL | operator_queries.SQL
