@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import Tables
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
 #: SQL of the derived part-supplier table.
 PARTSUPP = """partsupp AS (
   SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) AS ps_supplycost,
@@ -25,16 +24,20 @@ def partsupp(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("ps_supplycost"), F.sum("l_quantity").alias("ps_availqty"))
 
 
+def revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
 def day(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
 def q1(spark, d):
     li = Tables(spark, d).lineitem.where(F.col("l_shipdate") <= day("1998-09-02"))
-    charge = REVENUE * (1 + F.col("l_tax"))
+    charge = revenue() * (1 + F.col("l_tax"))
     out = li.groupBy("l_returnflag", "l_linestatus").agg(
         F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
-        F.round(F.sum(REVENUE), 2).alias("sum_disc_price"), F.round(F.sum(charge), 2).alias("sum_charge"),
+        F.round(F.sum(revenue()), 2).alias("sum_disc_price"), F.round(F.sum(charge), 2).alias("sum_charge"),
         F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
         F.round(F.avg("l_discount"), 4).alias("avg_disc"), F.count(F.lit(1)).alias("count_order"))
     return out.orderBy("l_returnflag", "l_linestatus")
@@ -68,7 +71,7 @@ ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100"""
 def q3(spark, d):
     t = Tables(spark, d)
     out = t.customer.where("c_mktsegment = 'BUILDING'").join(t.orders.where(F.col("o_orderdate") < day("1995-03-15")), F.col("c_custkey") == F.col("o_custkey")).join(t.lineitem.where(F.col("l_shipdate") > day("1995-03-15")), F.col("l_orderkey") == F.col("o_orderkey"))
-    return out.groupBy("l_orderkey", "o_orderdate", "o_orderpriority").agg(F.round(F.sum(REVENUE), 2).alias("revenue")).orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey").limit(10)
+    return out.groupBy("l_orderkey", "o_orderdate", "o_orderpriority").agg(F.round(F.sum(revenue()), 2).alias("revenue")).orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey").limit(10)
 
 
 Q3 = """SELECT l_orderkey, o_orderdate, o_orderpriority, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
@@ -95,7 +98,7 @@ def q5(spark, d):
     o = t.orders.where((F.col("o_orderdate") >= day("1998-01-01")) & (F.col("o_orderdate") < day("1999-01-01")))
     out = t.customer.join(o, F.col("c_custkey") == F.col("o_custkey")).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
     out = out.join(t.supplier, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))).join(home, F.col("s_nationkey") == F.col("n_nationkey"))
-    return out.groupBy("n_name").agg(F.round(F.sum(REVENUE), 2).alias("revenue")).orderBy(F.desc("revenue"))
+    return out.groupBy("n_name").agg(F.round(F.sum(revenue()), 2).alias("revenue")).orderBy(F.desc("revenue"))
 
 
 Q5 = """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey
@@ -121,7 +124,7 @@ def q7(spark, d):
     li = t.lineitem.where(F.col("l_shipdate").between(day("1995-01-01"), day("1996-12-31")))
     out = t.supplier.join(li, F.col("s_suppkey") == F.col("l_suppkey")).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
     out = out.join(n1, F.col("s_nationkey") == F.col("k1")).join(n2, F.col("c_nationkey") == F.col("k2")).where(both)
-    return out.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").cast("long").alias("l_year")).agg(F.round(F.sum(REVENUE), 2).alias("revenue")).orderBy("supp_nation", "cust_nation", "l_year")
+    return out.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").cast("long").alias("l_year")).agg(F.round(F.sum(revenue()), 2).alias("revenue")).orderBy("supp_nation", "cust_nation", "l_year")
 
 
 Q7 = """SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, year(l_shipdate) AS l_year,
@@ -139,7 +142,7 @@ def q8(spark, d):
     o = t.orders.where(F.col("o_orderdate").between(day("1995-01-01"), day("1996-12-31")))
     out = t.part.where("p_size < 10").join(t.lineitem, F.col("p_partkey") == F.col("l_partkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     out = out.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(n1, F.col("c_nationkey") == F.col("k1")).join(n2, F.col("s_nationkey") == F.col("k2"))
-    share = F.sum(F.when(F.col("nation") == "NATION_2", REVENUE).otherwise(0.0)) / F.sum(REVENUE)
+    share = F.sum(F.when(F.col("nation") == "NATION_2", revenue()).otherwise(0.0)) / F.sum(revenue())
     return out.groupBy(F.year("o_orderdate").cast("long").alias("o_year")).agg(F.round(share, 6).alias("mkt_share")).orderBy("o_year")
 
 
@@ -155,7 +158,7 @@ def q9(spark, d):
     t = Tables(spark, d)
     out = t.part.where(F.col("p_name").contains("ring")).join(t.lineitem, F.col("p_partkey") == F.col("l_partkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
     out = out.join(partsupp(t), (F.col("ps_partkey") == F.col("l_partkey")) & (F.col("ps_suppkey") == F.col("l_suppkey"))).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    profit = F.sum(REVENUE - 0.5 * F.col("ps_supplycost") * F.col("l_quantity"))
+    profit = F.sum(revenue() - 0.5 * F.col("ps_supplycost") * F.col("l_quantity"))
     return out.groupBy(F.col("n_name").alias("nation"), F.year("o_orderdate").cast("long").alias("o_year")).agg(F.round(profit, 2).alias("sum_profit")).orderBy("nation", F.desc("o_year"))
 
 
@@ -170,7 +173,7 @@ def q10(spark, d):
     t = Tables(spark, d)
     o = t.orders.where((F.col("o_orderdate") >= day("1997-10-01")) & (F.col("o_orderdate") < day("1998-01-01")))
     out = t.customer.join(o, F.col("c_custkey") == F.col("o_custkey")).join(t.lineitem.where("l_returnflag = 'R'"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return out.groupBy("c_custkey", "c_name", "c_acctbal", "n_name").agg(F.round(F.sum(REVENUE), 2).alias("revenue")).orderBy(F.desc("revenue"), "c_custkey").limit(20)
+    return out.groupBy("c_custkey", "c_name", "c_acctbal", "n_name").agg(F.round(F.sum(revenue()), 2).alias("revenue")).orderBy(F.desc("revenue"), "c_custkey").limit(20)
 
 
 Q10 = """SELECT c_custkey, c_name, c_acctbal, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
@@ -225,7 +228,7 @@ Q13 = """SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_or
 def q14(spark, d):
     t = Tables(spark, d)
     li = t.lineitem.where((F.col("l_shipdate") >= day("1995-09-01")) & (F.col("l_shipdate") < day("1995-10-01")))
-    share = 100.0 * F.sum(F.when(F.col("p_type").startswith("PROMO"), REVENUE).otherwise(0.0)) / F.sum(REVENUE)
+    share = 100.0 * F.sum(F.when(F.col("p_type").startswith("PROMO"), revenue()).otherwise(0.0)) / F.sum(revenue())
     return li.join(t.part, F.col("l_partkey") == F.col("p_partkey")).agg(F.round(share, 6).alias("promo_revenue"))
 
 
@@ -237,9 +240,9 @@ WHERE l_shipdate >= TIMESTAMP '1995-09-01' AND l_shipdate < TIMESTAMP '1995-10-0
 def q15(spark, d):
     t = Tables(spark, d)
     li = t.lineitem.where((F.col("l_shipdate") >= day("1996-01-01")) & (F.col("l_shipdate") < day("1996-04-01")))
-    revenue = li.groupBy(F.col("l_suppkey").alias("supplier_no")).agg(F.round(F.sum(REVENUE), 2).alias("total_revenue"))
-    best = revenue.agg(F.max("total_revenue").alias("best"))
-    out = t.supplier.join(revenue, F.col("s_suppkey") == F.col("supplier_no")).join(best, F.col("total_revenue") == F.col("best"))
+    per = li.groupBy(F.col("l_suppkey").alias("supplier_no")).agg(F.round(F.sum(revenue()), 2).alias("total_revenue"))
+    best = per.agg(F.max("total_revenue").alias("best"))
+    out = t.supplier.join(per, F.col("s_suppkey") == F.col("supplier_no")).join(best, F.col("total_revenue") == F.col("best"))
     return out.select("s_suppkey", "s_name", "total_revenue").orderBy("s_suppkey")
 
 
@@ -291,7 +294,7 @@ def q19(spark, d):
     t = Tables(spark, d)
     q, s, b = F.col("l_quantity"), F.col("p_size"), F.col("p_brand")
     hit = ((b == "Brand#12") & q.between(1, 11) & s.between(1, 15)) | ((b == "Brand#23") & q.between(10, 20) & s.between(1, 30)) | ((b == "Brand#34") & q.between(20, 30) & s.between(1, 45))
-    return t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).where(hit).agg(F.round(F.sum(REVENUE), 2).alias("revenue"))
+    return t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).where(hit).agg(F.round(F.sum(revenue()), 2).alias("revenue"))
 
 
 Q19 = """SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey
