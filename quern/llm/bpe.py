@@ -2,20 +2,24 @@
 
 Texts are cut by the split pattern into pieces, and each piece is encoded by
 itself, so a block of documents only needs each distinct piece once. A task
-cuts its documents into blocks of about ``block_bytes`` of text; a block is one
-row with its distinct pieces, as arrays of byte symbols, and a list of piece
-numbers for each document. Spark's higher-order functions then fold the ranked
-merges over each piece: the state has the symbols of the piece and the rank of
-each neighbouring pair; each step merges the first pair of the lowest rank.
-Nothing is shuffled, and memory follows the block.
+cuts its documents into blocks of about ``block_bytes`` of text and folds the
+ranked merges over the byte symbols of the block's distinct pieces: in each
+step every piece merges the first of its pairs with the lowest rank, until no
+pair has one. Nothing is shuffled, and memory follows the block.
 
 A merged pair's rank is its symbol, so ranks are looked up by pair. The rank
-map is a literal: an array under a perfect hash with one displacement per
-bucket, made on the driver from the rank file, whose size doesn't depend on
-the data. An entry holds the pair and its rank; XOR with the sought pair
-leaves the rank alone if they agree, and something larger than any rank if not.
+map is an array under a perfect hash with one displacement per bucket, made on
+the driver from the rank file, whose size doesn't depend on the data. An entry
+holds the pair and its rank; XOR with the sought pair leaves the rank alone if
+they agree, and something larger than any rank if not.
 
-Decoding looks each symbol's bytes up, as hex digits, and joins them.
+The fold has two forms with equal results. The main one works on all pieces of
+a block at once, as arrays. The other, ``fold="sql"``, sends each block's
+pieces through Spark's higher-order functions with the rank map as a literal;
+it takes about a hundred times the CPU seconds (see the README).
+
+Decoding looks each symbol's bytes up, as hex digits in a literal, and joins
+them, with higher-order functions.
 
 Defined results: null and empty texts have no symbols and decode to nothing;
 repeated rows are encoded one by one. A piece of n bytes takes up to n steps
@@ -106,6 +110,11 @@ class RankMap:
     def column(self, values: np.ndarray) -> Column:
         return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
 
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or 2**16 and more."""
+        d = self.shift[(a * HASH_A[0] + b * HASH_A[1]) % self.buckets]
+        return self.entries[(a * HASH_B[0] + b * HASH_B[1] + d) % self.size] ^ (((a << 16) | b) << 16)
+
     def lookup(self):
         """A function of two symbol columns that gives a rank, or 2**16 and more."""
         entries, shift = self.column(self.entries), self.column(self.shift)
@@ -118,8 +127,41 @@ class RankMap:
         return rank
 
 
+def fold_merges(symbols: np.ndarray, lens: np.ndarray, rank_map: RankMap) -> tuple[np.ndarray, np.ndarray]:
+    """Fold the ranked merges over many pieces at once.
+
+    ``symbols``: the byte symbols of all pieces; ``lens``: how many each has.
+    Returns the same of what is left. A step takes one merge in each piece that
+    has one, the leftmost of the lowest rank; finished pieces leave.
+    """
+    out_symbols, out_piece = [], []
+    piece = np.repeat(np.arange(len(lens)), lens)
+    while len(symbols):
+        none = np.r_[piece[1:] != piece[:-1], True]
+        rank = np.full(len(symbols), 1 << 16, np.int64)
+        at = np.flatnonzero(~none)
+        rank[at] = np.minimum(rank_map.ranks(symbols[at], symbols[at + 1]), 1 << 16)
+        first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+        least = np.minimum.reduceat((rank << 32) | np.arange(len(rank)), first)
+        busy = least < (1 << 48)
+        if not busy.all():
+            done = ~np.repeat(busy, np.diff(np.r_[first, len(symbols)]))
+            out_symbols.append(symbols[done])
+            out_piece.append(piece[done])
+        spot = least[busy] & 0xFFFFFFFF
+        symbols[spot] = least[busy] >> 32
+        keep = np.repeat(busy, np.diff(np.r_[first, len(symbols)]))
+        keep[spot + 1] = False
+        symbols, piece = symbols[keep], piece[keep]
+    if not out_piece:
+        return symbols, np.zeros(len(lens), np.int64)
+    piece = np.concatenate(out_piece)
+    order = np.argsort(piece, kind="stable")
+    return np.concatenate(out_symbols)[order], np.bincount(piece, minlength=len(lens))
+
+
 def merged(symbols: Column, rank) -> Column:
-    """Fold the ranked merges over an array of byte symbols."""
+    """Fold the ranked merges over an array of byte symbols, by higher-order functions."""
     n = F.size(symbols)
     none = F.array().cast("array<bigint>")
 
@@ -141,48 +183,34 @@ def merged(symbols: Column, rank) -> Column:
     return F.when(n < 2, symbols).otherwise(folded)
 
 
-BLOCK = "docs array<bigint>, codes array<binary>, pieces array<array<bigint>>"
-
-
-def _cut_blocks(ranks: dict[bytes, int], pattern: str, block_bytes: int):
-    schema = pa.schema([("docs", pa.list_(pa.int64())), ("codes", pa.list_(pa.binary())), ("pieces", pa.list_(pa.list_(pa.int64())))])
-
-    def cut(batches):
-        find = regex.compile(pattern).findall
-        whole = {k.decode(): -1 - v for k, v in ranks.items() if _is_text(k)}
-        symbol = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        ids, codes, size = [], [], 0
-        known: dict[str, int] = {}
-
-        def block():
-            words = [w.encode() for w in known]
-            ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-            flat = pa.array(symbol[np.frombuffer(b"".join(words), np.uint8)])
-            pieces = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), flat)
-            outer = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pieces)
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), outer], schema=schema)
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = find(text or "")
-                code = []
-                for w in found:
-                    c = whole.get(w)
+def text_blocks(batches, ranks: dict[bytes, int], pattern: str, block_bytes: int):
+    """Yield (docs, codes, words) for blocks of documents.
+
+    ``words`` are the distinct pieces that aren't symbols themselves. A code is
+    a place in ``words``, or -1 - symbol.
+    """
+    find = regex.compile(pattern).findall
+    whole = {k.decode(): -1 - v for k, v in ranks.items() if _is_text(k)}
+    docs, codes, size = [], [], 0
+    known: dict[str, int] = {}
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            code = []
+            for w in find(text or ""):
+                c = whole.get(w)
+                if c is None:
+                    c = known.get(w)
                     if c is None:
-                        c = known.get(w)
-                        if c is None:
-                            c = known[w] = len(known)
-                    code.append(c)
-                ids.append(doc)
-                codes.append(np.array(code, np.int32).tobytes())
-                size += len(text or "")
-                if size >= block_bytes:
-                    yield block()
-                    ids, codes, size, known = [], [], 0, {}
-        if ids:
-            yield block()
-
-    return cut
+                        c = known[w] = len(known)
+                code.append(c)
+            docs.append(doc)
+            codes.append(np.array(code, np.int32))
+            size += len(text or "")
+            if size >= block_bytes:
+                yield docs, codes, [w.encode() for w in known]
+                docs, codes, size, known = [], [], 0, {}
+    if docs:
+        yield docs, codes, [w.encode() for w in known]
 
 
 def _is_text(piece: bytes) -> bool:
@@ -193,43 +221,83 @@ def _is_text(piece: bytes) -> bool:
     return True
 
 
-def _join_pieces(n_ranks: int, rows: int = 500):
-    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def _byte_symbols(words: list[bytes], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    symbol = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    return symbol[np.frombuffer(b"".join(words), np.uint8)], np.array([len(w) for w in words], np.int64)
+
+
+IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
+def _rows(docs: pa.Array, codes: list[np.ndarray], flat: np.ndarray, lens: np.ndarray, n_ranks: int, rows: int = 500):
+    """Yield batches (doc_id, ids) of a block whose pieces are ``flat``, cut by ``lens``."""
+    flat = np.r_[np.arange(n_ranks, dtype=np.int32), flat.astype(np.int32)]
+    starts = np.r_[n_ranks + np.cumsum(lens) - lens, 0].astype(np.int64)
+    lens = np.r_[lens, 1]
+    for at in range(0, len(docs), rows):
+        parts, sizes = [np.empty(0, np.int32)], []
+        for code in codes[at : at + rows]:
+            own = code < 0
+            n = np.where(own, 1, lens[np.where(own, -1, code)])
+            start = np.where(own, -1 - code, starts[np.where(own, -1, code)])
+            total = np.cumsum(n)
+            size = int(total[-1]) if len(total) else 0
+            parts.append(flat[np.repeat(start - total + n, n) + np.arange(size)])
+            sizes.append(size)
+        offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([docs.slice(at, rows), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts)))], schema=IDS)
+
 
-    def join(batches):
-        own = np.arange(n_ranks, dtype=np.int32)
+def _encode_arrays(ranks: dict[bytes, int], rank_map: RankMap, pattern: str, block_bytes: int):
+    n_ranks = max(ranks.values()) + 1
+
+    def run(batches):
+        for docs, codes, words in text_blocks(batches, ranks, pattern, block_bytes):
+            flat, lens = fold_merges(*_byte_symbols(words, ranks), rank_map)
+            yield from _rows(pa.array(docs, pa.int64()), codes, flat, lens, n_ranks)
+
+    return run
+
+
+BLOCK = "docs array<bigint>, codes array<binary>, pieces array<array<bigint>>"
+
+
+def _cut_blocks(ranks: dict[bytes, int], pattern: str, block_bytes: int):
+    schema = pa.schema([("docs", pa.list_(pa.int64())), ("codes", pa.list_(pa.binary())), ("pieces", pa.list_(pa.list_(pa.int64())))])
+
+    def run(batches):
+        for docs, codes, words in text_blocks(batches, ranks, pattern, block_bytes):
+            flat, lens = _byte_symbols(words, ranks)
+            pieces = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lens)].astype(np.int32)), pa.array(flat))
+            outer = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pieces)
+            yield pa.RecordBatch.from_arrays([pa.array([docs], pa.list_(pa.int64())), pa.array([[c.tobytes() for c in codes]], pa.list_(pa.binary())), outer], schema=schema)
+
+    return run
+
+
+def _join_pieces(n_ranks: int):
+    def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 docs, codes, pieces = (batch.column(c)[k].values for c in range(3))
-                lens = pieces.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = np.r_[own, pieces.flatten().to_numpy(zero_copy_only=False).astype(np.int32)]
-                starts = n_ranks + np.cumsum(lens) - lens
-                for at in range(0, len(docs), rows):
-                    parts, sizes = [], []
-                    for raw in codes.slice(at, rows).to_pylist():
-                        code = np.frombuffer(raw, np.int32).astype(np.int64)
-                        known = code < 0
-                        place = np.where(known, 0, code)
-                        n = np.where(known, 1, lens[place]) if len(lens) else np.ones(len(code), np.int64)
-                        start = np.where(known, -1 - code, starts[place]) if len(lens) else -1 - code
-                        total = np.cumsum(n)
-                        size = int(total[-1]) if len(total) else 0
-                        parts.append(flat[np.repeat(start - total + n, n) + np.arange(size)])
-                        sizes.append(size)
-                    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-                    ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts)))
-                    yield pa.RecordBatch.from_arrays([docs.slice(at, rows), ids], schema=out)
-
-    return join
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                flat, lens = (x.to_numpy(zero_copy_only=False) for x in (pieces.flatten(), pieces.value_lengths()))
+                yield from _rows(docs, [np.frombuffer(c, np.int32) for c in codes.to_pylist()], flat, lens.astype(np.int64), n_ranks)
+
+    return run
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, fold: str = "arrays") -> DataFrame:
     """doc_id and ids (array of int) of each row; no special symbols are made."""
     ranks = read_ranks(default_ranks()) if ranks is None else ranks
     pattern = default_pattern() if pattern is None else pattern
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rank_map = RankMap(ranks)
+    if fold == "arrays":
+        return rows.mapInArrow(_encode_arrays(ranks, rank_map, pattern, block_bytes), "doc_id long, ids array<int>")
+    if fold != "sql":
+        raise ValueError("fold is 'arrays' or 'sql'")
+    rank = rank_map.lookup()
     blocks = rows.mapInArrow(_cut_blocks(ranks, pattern, block_bytes), BLOCK)
-    rank = RankMap(ranks).lookup()
     folded = blocks.select("docs", "codes", F.transform("pieces", lambda p: merged(p, rank)).alias("pieces"))
     return folded.mapInArrow(_join_pieces(max(ranks.values()) + 1), "doc_id long, ids array<int>")
 
