@@ -55,6 +55,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or blanks, for ``F.col``."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct: keeps their names apart from an operator's own."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE_RUN, broadcast_if_small, let, materialize, table
+from quern.llm.common import SPACE_RUN, broadcast_if_small, let, materialize, table, whole_row
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -177,7 +177,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int
 def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **params) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it."""
     copies = materialize(mix(docs, doc_id=doc_id, text=text, source=source, **params).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("nth").alias("__nth"), "copies"), "copies")
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(doc_id).cast("long").alias("__rid"), F.col(source).alias("__rsource"), word_count(F.col(text)).alias("__rsize"))
+    rows = docs.select(whole_row(docs).alias("__row"), F.col(doc_id).cast("long").alias("__rid"), F.col(source).alias("__rsource"), word_count(F.col(text)).alias("__rsize"))
     several = copies.where("__nth > 1").select("__id", "__source", "__size").distinct()
     same = F.col("__rid").eqNullSafe(F.col("__id")) & F.col("__rsource").eqNullSafe(F.col("__source")) & F.col("__rsize").eqNullSafe(F.col("__size"))
     several = materialize(several, "several")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE_RUN, WORD_CHAR, broadcast_if_small, let, materialize, table, words_of
+from quern.llm.common import SPACE_RUN, WORD_CHAR, broadcast_if_small, let, materialize, quoted, table, words_of
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -101,19 +101,6 @@ def statistic_vector() -> list[Column]:
     ]
 
 
-def _cholesky(c) -> dict:
-    """The factor of a symmetric matrix c[i][j] of columns, as columns."""
-    low: dict = {}
-    d = len(AXES)
-    for i in range(d):
-        for j in range(i + 1):
-            s = c(i, j)
-            for k in range(j):
-                s = s - low[i, k] * low[j, k]
-            low[i, j] = F.sqrt(s) if i == j else s / low[j, j]
-    return low
-
-
 def _factor(groups: DataFrame) -> DataFrame:
     """Columns m_i and c_i_j to m_i, the factor l_i_j and log_det.
 
@@ -194,7 +181,7 @@ def assess(docs: DataFrame, carry=(), doc_id: str = "doc_id", text: str = "text"
     failed or the group is too small) and kept. The counts are written once to
     the shared folder, so that no text is read again.
     """
-    held = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    held = [F.struct(*[F.col(quoted(c)).alias(c) for c in carry]).alias("carried")] if carry else []
     counted = docs.select(*held, F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), base_counts(F.col(text)).alias("c"))
     counted = materialize(counted.select(*["carried"] * bool(carry), "doc_id", "lang", "source", *[F.col(f"c.{c}").alias(c) for c in COUNTS]), "counts")
     counted = counted.withColumn("base_failed", base_failed())

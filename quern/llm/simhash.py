@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, table
+from quern.llm.common import materialize, quoted, table
 from quern.llm.components import connected_components
 
 SHINGLE = 4
@@ -78,7 +78,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", carry=("doc_id",), sh
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.struct(*[F.col(c) for c in carry]).alias("carried"), fp(F.col(text)).alias("fp"))
+    return docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in carry]).alias("carried"), fp(F.col(text)).alias("fp"))
 
 
 def block_masks(n_distinct: int, max_bits: int = MAX_BITS) -> list[int]:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, release, table
+from quern.llm.common import materialize, quoted, release, table, whole_row
 
 MIN_LEN = 200
 #: Bytes of an anchor: a power of two.
@@ -341,7 +341,7 @@ def with_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **pa
     found = materialize(covered_spans(Contexts(docs, doc_id, text, **params)), "removed")
     release(docs.sparkSession)
     found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "spans")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("__rid"), F.xxhash64(text).alias("__rth"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).cast("long").alias("__rid"), F.xxhash64(text).alias("__rth"))
     joined = rows.join(found, F.col("__rid").eqNullSafe(F.col("__id")) & (F.col("__rth") == F.col("__th")), "left")
     return joined.select("row", "spans")
 
@@ -411,7 +411,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     given = {text: F.col("new")}
     if n_chars in docs.columns:
         given[n_chars] = F.when(F.col("spans").isNull(), F.col(f"row.{n_chars}")).otherwise(F.char_length("new").cast(docs.schema[n_chars].dataType))
-    return new.select(*[given.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    return new.select(*[given.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
