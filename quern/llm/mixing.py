@@ -5,14 +5,15 @@ number of copies, target over size. Whole copies are granted, and what is left
 of each document, a probability p, is rounded by pivots: two documents with
 sizes a and b trade mass, a*dp = -b*dq, until one of the probabilities is 0 or
 1. The direction is drawn so that no expectation changes, and the words of the
-two together stay the same, so that a source ends within one document of its
-target whatever its size.
+two together stay the same, so that a source ends near its target whatever its
+size.
 
 The pivots form a reduction tree. Documents of a source are dealt by a hash of
 their key into buckets of about ``FAN_IN``; each bucket is rounded on its own
 and passes on at most one document that is still fractional; ``FAN_IN``
 buckets meet on the next level, until one document of the source is left, and
-that is drawn by its probability. No step holds more than a bucket.
+that is rounded to the nearer side, which keeps the source within half of that
+document of its target. No step holds more than a bucket.
 
 Every draw is a hash of the document's key and the level, so reruns agree.
 Rows that agree in id, source and size share a key; they are counted first and
@@ -83,7 +84,7 @@ def _pivot(a: Column, b: Column) -> Column:
     down = F.least(a["p"] * a["size"], (1 - b["p"]) * b["size"])
 
     def with_p(x: Column, p: Column) -> Column:
-        return F.struct(x["key"].alias("key"), x["size"].alias("size"), x["draw"].alias("draw"), p.alias("p"))
+        return F.struct(x["large"].alias("large"), x["key"].alias("key"), x["size"].alias("size"), x["draw"].alias("draw"), p.alias("p"))
 
     def settle(q: Column) -> Column:
         # q: (pa, pb); exactly the one that hit its bound is done
@@ -103,11 +104,15 @@ def _pivot(a: Column, b: Column) -> Column:
     return let(let(b["draw"] * (up + down) < down, bounds), settle)
 
 
-ITEM = "struct<key:struct<doc_id:bigint,nth:bigint,source:string,size:bigint>,size:double,draw:double,p:double>"
+ITEM = "struct<large:double,key:struct<doc_id:bigint,nth:bigint,source:string,size:bigint>,size:double,draw:double,p:double>"
 
 
 def _round_bucket(items: Column) -> Column:
-    """Fold the sorted items of a bucket: (left, done), left null when all are integral."""
+    """Fold the items of a bucket, larger ones first: (left, done), left null when all are integral.
+
+    Neighbours are of like size then, so either may be done first, and what is
+    left at the end tends to be small.
+    """
 
     def integral(x: Column) -> Column:
         return (x["p"] <= 0) | (x["p"] >= 1)
@@ -134,7 +139,7 @@ def pivotal_copies(parts: DataFrame, fan_in: int = FAN_IN, seed: int = SEED) ->
     items = parts.select(
         "source",
         F.pmod(F.xxhash64(F.lit(seed), "key"), n_buckets).alias("bucket"),
-        F.struct(F.col("key"), F.col("size").cast("double").alias("size"), _uniform(F.lit(seed + 1), F.col("key")).alias("draw"), F.col("p").alias("p")).alias("item"),
+        F.struct((-F.col("size").cast("double")).alias("large"), F.col("key"), F.col("size").cast("double").alias("size"), _uniform(F.lit(seed + 1), F.col("key")).alias("draw"), F.col("p").alias("p")).alias("item"),
     )
     levels = 1
     most = parts.agg(F.max(n_buckets)).first()[0] or 1
@@ -145,9 +150,9 @@ def pivotal_copies(parts: DataFrame, fan_in: int = FAN_IN, seed: int = SEED) ->
         rounded = items.groupBy("source", "bucket").agg(_round_bucket(F.collect_list("item")).alias("r"))
         rounded = materialize(rounded.select("source", "bucket", "r.left", "r.done"), "pivots")
         decided.append(rounded.select(F.explode("done").alias("x")).select("x.key", F.round("x.p").cast("int").alias("extra")))
-        drawn = F.struct(F.col("left.key").alias("key"), F.col("left.size").alias("size"), _uniform(F.lit(seed + 2 + level), F.col("left.key")).alias("draw"), F.col("left.p").alias("p"))
+        drawn = F.struct(F.col("left.large").alias("large"), F.col("left.key").alias("key"), F.col("left.size").alias("size"), _uniform(F.lit(seed + 2 + level), F.col("left.key")).alias("draw"), F.col("left.p").alias("p"))
         items = rounded.where(F.col("left").isNotNull()).select("source", F.floor(F.col("bucket") / fan_in).alias("bucket"), drawn.alias("item"))
-    decided.append(items.select("item.key", F.when(F.col("item.draw") < F.col("item.p"), F.lit(1)).otherwise(F.lit(0)).alias("extra")))
+    decided.append(items.select("item.key", F.when(F.col("item.p") >= 0.5, F.lit(1)).otherwise(F.lit(0)).alias("extra")))
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
