@@ -169,3 +169,25 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings, linked within their label at a cosine of 0.93."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of a label: for small tables.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+), r(id, c) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.id
+), c AS (
+  SELECT id, min(c) AS component_id FROM r GROUP BY id
+), n AS (
+  SELECT a, count(*) AS n_links FROM p GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON vec_id = id LEFT JOIN n ON vec_id = a
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_embedding_dedup": embedding_dedup.SQL,
     "op9_url_filter": url_filter.SQL,
     "op10_warc": warc.SQL,
 }

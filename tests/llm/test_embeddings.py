@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -84,3 +85,10 @@ def test_recall_at_the_threshold(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = ed.near_vectors(df).where("n_links > 0").count()
     assert got >= 0.99 * len(rows)
+
+
+def test_query_agrees_with_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    df = ed.op3_embedding_dedup(spark, "/root/testdata/sf0.01")
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ed.SQL})").fetchall())
