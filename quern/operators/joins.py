@@ -101,10 +101,11 @@ def numbered(df: DataFrame, order, name: str) -> DataFrame:
     """Adds each row's place in the total order, from 0, without sorting in one task.
 
     Rows are sorted by ranges; each partition is numbered by itself, and the
-    counts of the partitions before it are added.
+    counts of the partitions before it are added. The sorted rows are persisted,
+    so that both steps see the same partitions.
     """
     ordered = df.orderBy(*order).withColumn("__mono", F.monotonically_increasing_id())
-    placed = ordered.withColumns({"__part": F.shiftright("__mono", 33), "__at": F.col("__mono").bitwiseAND((1 << 33) - 1)})
+    placed = ordered.withColumns({"__part": F.shiftright("__mono", 33), "__at": F.col("__mono").bitwiseAND((1 << 33) - 1)}).persist()
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select(F.col("__part").alias("__p2"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     out = placed.join(F.broadcast(before), F.col("__part") == F.col("__p2"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +53,8 @@ def knn_search(df: DataFrame, column: str, query: Sequence[float], k: int = 10,
 def knn_join(queries: DataFrame, df: DataFrame, query_id: str, query: str, row_id: str, column: str, k: int, metric: str = "l2", block: int = 256) -> DataFrame:
     """The k nearest rows for each of a bounded set of queries: query_id, row_id, distance, rank.
 
-    The queries are broadcast in blocks against all rows, and each Arrow batch
-    of rows passes on its k best per block as a matrix product gives them.
+    The queries go to all tasks and are compared with the rows in blocks, by a
+    matrix product; each task passes on its k best of each query.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
@@ -62,20 +63,26 @@ def knn_join(queries: DataFrame, df: DataFrame, query_id: str, query: str, row_i
     q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
 
     def best(batches):
+        near, far = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
         for pdf in batches:
             pdf = pdf[pdf["v"].notna()]
             if not len(pdf) or not len(ids):
                 continue
-            x = np.array(pdf["v"].tolist(), np.float64)
-            rid = pdf["i"].to_numpy()
+            x, own = np.array(pdf["v"].tolist(), np.float64), pdf["i"].to_numpy()
+            parts = []
             for at in range(0, len(ids), block):
                 part = q[at : at + block]
                 if metric == "l2":
                     d = np.sqrt(np.maximum((part**2).sum(1)[:, None] - 2 * part @ x.T + (x**2).sum(1)[None], 0))
                 else:
                     d = 1 - (part @ x.T) / (np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None])
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield type(pdf)({query_id: np.repeat(ids[at : at + block], near.shape[1]), row_id: rid[near].ravel(), "distance": np.take_along_axis(d, near, 1).ravel()})
+                pick = np.argsort(d, axis=1, kind="stable")[:, :k]
+                parts.append((own[pick], np.take_along_axis(d, pick, 1)))
+            near = np.concatenate([near, np.concatenate([p[0] for p in parts])], axis=1)
+            far = np.concatenate([far, np.concatenate([p[1] for p in parts])], axis=1)
+            order = np.lexsort((near, far), axis=1)[:, :k]
+            near, far = np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
+        yield pd.DataFrame({query_id: np.repeat(ids, near.shape[1]), row_id: near.ravel(), "distance": far.ravel()})
 
     found = df.select(F.col(row_id).alias("i"), F.col(column).alias("v")).mapInPandas(best, f"{query_id} long, {row_id} long, distance double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("distance", row_id)))
