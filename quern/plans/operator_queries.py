@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions import decimals, predicates, scalar
+from quern.functions import decimals, predicates, scalar, user
 from quern.operators import aggregates, joins, reshape, setops, sorting, vector, windows
 from quern.plans.fixtures import fixture, with_fixtures
+from quern.sources import sinks
 from quern.sources import tables as sources
 from quern.sources.tables import Tables
 from quern.streaming import session as streams
@@ -614,3 +617,58 @@ def knn_ivf(spark, d):
 def stream_tumbling(spark, d):
     out = streams.windowed(Tables(spark, d).events, "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("s")])
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "n", "s")
+
+
+# More sources, sinks and expressions
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation WHERE n_regionkey IN (1, 2) GROUP BY n_regionkey")
+def sink_partitioned_files(spark, d):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/quern-nation-{uuid.uuid4().hex}"
+    sinks.write_parquet(Tables(spark, d).nation, path, ["n_regionkey"])
+    return sources.read_parquet(spark, path).where("n_regionkey IN (1, 2)").groupBy(F.col("n_regionkey").cast("int").alias("n_regionkey")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, CASE WHEN b = 0 THEN NULL ELSE a / b END AS q, CASE WHEN b = 0 THEN NULL ELSE a % b END AS r, TRY_CAST('x' || id AS INTEGER) AS c FROM nums", ["nums"])
+def pred_try(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return fixture(spark, "nums").select("id", F.try_divide(a, b).alias("q"), F.try_mod(a, b).alias("r"), F.expr("try_cast(concat('x', id) AS int)").alias("c"))
+
+
+@query("SELECT id, CASE WHEN i > 100 THEN error('no') ELSE 'fine' END AS e FROM nt", ["nt"])
+def pred_case_error(spark, d):
+    return fixture(spark, "nt").select("id", F.when(F.col("i") > 100, F.raise_error(F.lit("no")).cast("string")).otherwise("fine").alias("e"))
+
+
+@query("SELECT g, count(DISTINCT p) AS n FROM (SELECT g, struct_pack(a := v, b := f) AS p FROM agg_n) GROUP BY g", ["agg_n"])
+def fn_struct_pack(spark, d):
+    packed = fixture(spark, "agg_n").select("g", F.struct(F.col("v").alias("a"), F.col("f").alias("b")).alias("p"))
+    return packed.groupBy("g").agg(F.countDistinct("p").alias("n"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate + INTERVAL 3 MONTH AS DATE) AS m, date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS n, strftime(o_orderdate, '%Y-%m') AS f, CAST(quarter(o_orderdate) AS BIGINT) AS q, CAST(last_day(o_orderdate) AS DATE) AS l FROM orders")
+def fn_dates(spark, d):
+    o = F.col("o_orderdate")
+    day = o.cast("date")
+    return Tables(spark, d).orders.select("o_orderkey", day.alias("d"), F.add_months(day, 3).alias("m"), F.date_diff(day, F.lit("1995-01-01").cast("date")).cast("long").alias("n"), F.date_format(o, "yyyy-MM").alias("f"), F.quarter(o).cast("long").alias("q"), F.last_day(day).alias("l"))
+
+
+@query("SELECT event_id, user_id % 2 = 0 AS even, CASE WHEN user_id % 2 = 0 THEN value * 2 ELSE -value END AS v FROM events")
+def fn_user_scalar(spark, d):
+    double = user.register_scalar(spark, "quern_signed", lambda v, u: v.where(u % 2 == 1, -2 * v) * -1, "double")
+    return Tables(spark, d).events.select("event_id", (F.col("user_id") % 2 == 0).alias("even"), double("value", "user_id").alias("v"))
+
+
+@query("SELECT r_regionkey, CAST(i AS INTEGER) AS i FROM region, range(0, 3) t(i) WHERE i < r_regionkey")
+def fn_user_table(spark, d):
+    user.register_table_function(spark, "quern_below", lambda n: ((i,) for i in range(min(n, 3))), "i int")
+    Tables(spark, d).region.createOrReplaceTempView("quern_region")
+    return spark.sql("SELECT r_regionkey, i FROM quern_region, LATERAL quern_below(r_regionkey)")
+
+
+@query("SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE (l_quantity < 5 AND o_orderstatus = 'F') OR (l_quantity > 45 AND o_orderstatus = 'O')")
+def pred_or_over_join(spark, d):
+    t = Tables(spark, d)
+    q, s = F.col("l_quantity"), F.col("o_orderstatus")
+    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).where(((q < 5) & (s == "F")) | ((q > 45) & (s == "O"))).agg(F.count(F.lit(1)).alias("n"))
