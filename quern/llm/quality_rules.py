@@ -34,7 +34,8 @@ STEPS = 4
 MIN_GROUP = 60
 #: Standard deviations added to each axis, so that a statistic which is the
 #: same in most documents of a group doesn't make every other value an outlier.
-FLOOR = {"x_len": 0.25, "x_mean": 0.12, "x_symbols": 0.35, "x_dup": 0.12, "x_repeat": 0.12}
+#: That of the length is large: a long document is not junk by that alone.
+FLOOR = {"x_len": 1.0, "x_mean": 0.12, "x_symbols": 0.35, "x_dup": 0.12, "x_repeat": 0.12}
 AXES = tuple(FLOOR)
 #: The squared distance that a five-dimensional normal exceeds once in 1e6 rows.
 CUTOFF = 36.9
