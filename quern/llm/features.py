@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that are used to fit a model at most; those with the smallest hashes.
-MAX_TRAIN_ROWS = 6000
+MAX_TRAIN_ROWS = 4000
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -20,7 +20,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, targets: list[str], max_ro
     """text and targets of at most ``max_rows`` labelled documents that aren't held out.
 
     Rows without a text or a 0/1 value for each target are left out. The choice
-    follows a hash of the id, so it doesn't depend on the order of the rows.
+    follows a hash of the id, so it doesn't depend on the order of the rows; of
+    several texts with one id the least is taken.
     Only the labelled ids are joined with the texts, and only the chosen rows
     come to the driver.
     """
@@ -32,7 +33,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, targets: list[str], max_ro
     # The chosen rows are bounded by max_rows, so they may be broadcast.
     found = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     rows = found.join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
-    return rows.select("__doc", "text", *targets).toPandas().drop_duplicates("__doc").sort_values("__doc").reset_index(drop=True)
+    once = rows.groupBy("__doc").agg(F.min("text").alias("text"), *[F.max(t).alias(t) for t in targets])
+    return once.toPandas().sort_values("__doc").reset_index(drop=True)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -165,7 +165,8 @@ def fit(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int =
         what, who = pair // batch, pair % batch
         n = np.maximum(np.bincount(who, times, len(rows)), 1)
         cut = np.flatnonzero(np.r_[True, np.diff(what) > 0])
-        matrix = (what[cut], np.searchsorted(cut, np.arange(len(what)), "right") - 1, who, (times / n[who]).astype(np.float32), cut)
+        col = np.cumsum(np.r_[0, np.diff(what) > 0]).astype(np.int32)
+        matrix = (what[cut], col, who.astype(np.int32), (times / n[who]).astype(np.float32), cut)
         batches.append((labels[rows], len(rows), matrix))
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     soft, bias = np.zeros((dim, 2), np.float32), np.log(np.array([1 - share, share], np.float32))
