@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,39 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Lists that take the folders made while they are open.
+_watching: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
+    for made in _watching:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def watch_folders(made: list[str]):
+    """Append to ``made`` each folder that is made inside."""
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching.remove(made)
+
+
+def delete_folders(spark: SparkSession, paths) -> None:
+    """Delete folders of the shared folder; missing ones are fine."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for df in tables:
+        delete_folders(df.sparkSession, [df._quern_folder])
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -44,7 +76,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_folder = path
+    return out
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

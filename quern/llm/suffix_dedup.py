@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, quoted, release, table, whole_row
+from quern.llm.common import discard, materialize, quoted, release, table, whole_row
 
 MIN_LEN = 200
 #: Bytes of an anchor: a power of two.
@@ -270,6 +270,7 @@ class Contexts:
         twice = materialize(counts.select(F.col("fp").alias("__fp")), "twice")
         #: Every place whose anchor occurs twice or more.
         self.places = materialize(anchors.join(twice, F.col("fp") == F.col("__fp"), "left_semi"), "places")
+        discard(anchors, twice)
         release(self.spark)
         rep = F.min(F.struct("doc_id", "th", "start", "windows")).alias("rep")
         own = materialize(self.places.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), rep), "contexts")
@@ -287,9 +288,15 @@ class Contexts:
 
         found = with_text.select(F.explode(F.transform("__need", fetch)).alias("x")).select("x.*").dropDuplicates(["fp", "ctx"])
         found = materialize(found, "pieces")
+        discard(by_doc, several)
         release(self.spark)
+        self._tables = [self.places, own, found]
         self.sorted, self.hot = found.where(F.col("m") <= max_group), found.where(F.col("m") > max_group)
 
+    def discard(self) -> None:
+        """Delete all tables, when what was made of them has been written."""
+        discard(*self._tables)
+
     def grouped(self):
         """Contexts to be sorted, all of an anchor in one group, many anchors in each."""
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.sorted.count() // GROUP_ROWS)
@@ -306,6 +313,7 @@ class Contexts:
         windows = self.hot.select("fp", "ctx", F.explode(hashed).alias("x")).select("fp", "ctx", "x.*")
         twice = windows.groupBy("fp", "h", "g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
         twice = materialize(twice.select(F.col("fp").alias("__fp"), F.col("h").alias("__h"), F.col("g").alias("__g")), "hot")
+        self._tables.append(twice)
         found = windows.join(twice, (F.col("fp") == F.col("__fp")) & (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g")), "left_semi")
         return found.select("fp", "ctx", F.array(F.col("at"), F.col("at") + length).alias("spans"))
 
@@ -315,6 +323,8 @@ def covered_spans(contexts: Contexts) -> DataFrame:
     sorted_ = contexts.grouped().applyInPandas(_covered(contexts.min_len), "fp long, ctx long, spans array<int>")
     parts = sorted_.unionByName(contexts.hot_spans()).unionByName(contexts.whole)
     parts = materialize(parts.select(F.col("fp").alias("__fp"), F.col("ctx").alias("__ctx"), "spans"), "spans")
+    contexts._tables.append(parts)
+    release(contexts.spark)
     at = contexts.places.select("fp", "ctx", "doc_id", "th", "start")
     hit = at.join(parts, (F.col("fp") == F.col("__fp")) & (F.col("ctx") == F.col("__ctx")))
     moved = hit.select("doc_id", "th", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
@@ -338,7 +348,9 @@ def maximal_repeats(docs: DataFrame, **params) -> DataFrame:
 
 def with_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """``docs`` (as a struct ``row``), the whole text ``text`` and its ``spans``, null if none."""
-    found = materialize(covered_spans(Contexts(docs, doc_id, text, **params)), "removed")
+    contexts = Contexts(docs, doc_id, text, **params)
+    found = materialize(covered_spans(contexts), "removed")
+    contexts.discard()
     release(docs.sparkSession)
     found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "spans")
     rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).cast("long").alias("__rid"), F.xxhash64(text).alias("__rth"))
