@@ -14,29 +14,58 @@ written as Parquet and read again as the next stage's documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
-from quern.llm.common import new_folder, table
+from quern.llm.common import delete_folders, new_folder, release, table, watch_folders
+
+
+#: Folders that the stage before has made for itself.
+_scratch: list[str] = []
+
+
+def stage(f):
+    """A stage that first deletes the tables which the one before has left.
+
+    The result of each stage is written before the next one is called, so by
+    then nothing reads them any more.
+    """
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete_folders(spark, _scratch)
+        _scratch.clear()
+        release(spark)
+        with watch_folders(_scratch):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_clean(docs)
 
 
+@stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+@stage
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs)
 
 
+@stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
+@stage
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(bpe.default_ranks())
     encoded = bpe.encode(docs, ranks)
@@ -58,8 +87,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    before = []
+    for name, work in STAGES:
         out = new_folder(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(out)
+        work(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        delete_folders(spark, before)
+        before = [out]
     return docs
