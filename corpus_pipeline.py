@@ -4,7 +4,8 @@ Each stage works on all that the stage before it kept; what it returns is
 written as Parquet and read again as the next stage's documents.
 
 1. quality_rules: documents that the rules reject go.
-2. near_duplicates: one document of each SimHash group stays.
+2. near_duplicates: one document of each group stays that is linked by a Jaccard
+   similarity of 0.8 or more of five-word shingles.
 3. repeated_passages: byte strings of 200 or more that start elsewhere too are
    cut out, at whole characters.
 4. mixing: documents are repeated or dropped until each source is near its
@@ -19,7 +20,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
+from quern.llm import bpe, jaccard, mixing, quality_rules, suffix_dedup
 from quern.llm.common import delete_folders, new_folder, release, table, watch_folders
 
 
@@ -52,7 +53,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return jaccard.keep_one(docs)
 
 
 @stage

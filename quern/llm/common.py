@@ -99,6 +99,15 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
 
 
+def one_per_label(rows: DataFrame, label: str) -> DataFrame:
+    """One row (label, id, hash, rid) for each label: by smallest id (nulls last), then hash, then rid.
+
+    An aggregation, so rows of one label are combined before the shuffle.
+    """
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "rid")
+    return rows.groupBy(label).agg(F.min(order).alias("least")).select(label, "least.id", "least.hash", "least.rid")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")

@@ -1,0 +1,151 @@
+"""Near-dedup by the Jaccard similarity of word shingles.
+
+Texts are linked when the sets of their word shingles (64-bit XXH64, seed 42)
+have a Jaccard similarity of at least ``SIMILAR``. Candidates share one of
+``BANDS`` keys of ``ROWS`` MinHash values: a pair at exactly 0.8 shares none
+with a probability of 0.00003. Every link is checked on the whole sets.
+
+Texts with equal sets become one set first. Each set is then compared with the
+smallest one at each of its keys, which is linear in a group of near copies;
+only keys whose sets don't end in one component are compared pair by pair.
+
+Defined results: null and empty texts have the empty set and are linked with
+each other; texts of fewer words than a shingle hash the whole sequence.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.llm.common import discard, materialize, one_per_label, quoted, release, whole_row
+from quern.llm.components import connected_components
+from quern.llm.simhash import WORDS
+
+SHINGLE = 5
+#: 0.8 as a fraction: sets are compared in integers.
+SIMILAR = (4, 5)
+BANDS, ROWS = 20, 4
+#: Hashes that are permuted at a time: bounds the memory of long texts.
+HASHES = 1 << 12
+
+_rng = np.random.default_rng(42)
+_FLIPS = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_FACTORS = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text as sorted hashes."""
+    words = WORDS.findall((text or "").encode().lower())
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(len(words) - shingle + 1, 1)
+    one = xxhash.xxh64_intdigest
+    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
+    return np.unique(np.fromiter((one(joined[a:b], 42) for a, b in spans), np.uint64, n))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key of each band, signed; the empty set has none."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for k in range(0, len(hashes), HASHES):
+        v = (hashes[k : k + HASHES, None] ^ _FLIPS) * _FACTORS
+        v ^= v >> np.uint64(32)
+        v *= _FACTORS
+        np.minimum(least, v.min(axis=0), out=least)
+    bands = least.reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(bands)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def set_id(hashes: np.ndarray) -> int:
+    """A signed 64-bit name of a set."""
+    return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes(), 42)], np.uint64).view(np.int64)[0])
+
+
+def _signatures(shingle: int):
+    @F.pandas_udf("sid long, keys array<long>")
+    def signatures(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_hashes(t, shingle) for t in texts]
+        return pd.DataFrame({"sid": np.array([set_id(h) for h in sets], np.int64), "keys": [band_keys(h) for h in sets]})
+
+    return signatures
+
+
+def _hash_sets(shingle: int):
+    @F.pandas_udf("array<long>")
+    def hash_sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, shingle).view(np.int64) for t in texts])
+
+    return hash_sets
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    one, two = SIMILAR
+    left = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha"))
+    right = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb"))
+    both = pairs.join(left, "a").join(right, "b")
+    # Sizes that can't be similar are never intersected.
+    both = both.where(two * F.least(F.size("ha"), F.size("hb")) >= one * F.greatest(F.size("ha"), F.size("hb")))
+    both = both.withColumn("n", F.size(F.array_intersect("ha", "hb")))
+    return both.where(two * F.col("n") >= one * (F.size("ha") + F.size("hb") - F.col("n"))).select("a", "b")
+
+
+def set_links(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Links (a, b) that connect the similar sets of rows (sid, keys, text); materialized.
+
+    ``rows``: materialized.
+    """
+    deals = materialize(rows.select("sid", F.explode("keys").alias("key")).distinct(), "keys")
+    least = materialize(deals.groupBy("key").agg(F.min("sid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "least")
+    shared = materialize(deals.join(least, "key").select("key", F.col("sid").alias("a"), "b", "n"), "shared")
+    discard(deals, least)
+    pairs = materialize(shared.where("a != b").select("a", "b").distinct(), "pairs")
+    asked = materialize(shared.select(F.col("a").alias("sid")).distinct(), "asked")
+    # Copies of one set share its name; any of their texts has the same shingles.
+    named = rows.groupBy("sid").agg(F.min("rid").alias("rid"))
+    firsts = materialize(named.join(asked, "sid", "left_semi"), "firsts")
+    texts = rows.select("rid", "text").join(firsts, "rid").select("sid", "text")
+    sets = materialize(texts.select("sid", _hash_sets(shingle)("text").alias("hashes")), "sets")
+    discard(asked, firsts)
+    release(rows.sparkSession)
+    links = materialize(_checked(pairs, sets), "links")
+    labels = connected_components(links)
+    # Keys whose sets are still apart: all pairs between different components that haven't been compared.
+    held = shared.where("n > 2").select("key", "a").join(labels.withColumnRenamed("node", "a"), "a", "left")
+    held = materialize(held.select("key", "a", F.coalesce("component", "a").alias("c")), "held")
+    discard(shared)
+    apart = materialize(held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key"), "apart")
+    still = materialize(held.join(apart, "key"), "still")
+    other = still.select("key", F.col("a").alias("b"), F.col("c").alias("d"))
+    more = still.join(other, "key").where((F.col("b") < F.col("a")) & (F.col("c") != F.col("d"))).select("a", "b").distinct()
+    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    out = materialize(links.unionByName(_checked(more, sets)), "links")
+    discard(held, apart, still, more, sets, pairs, links)
+    return out
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One document of each group, that with the smallest id, with all columns.
+
+    Rows without id come last; among equal ids a hash of the row decides.
+    """
+    found = docs.select(whole_row(docs).alias("carried"), _signatures(shingle)(F.col(quoted(text))).alias("s"), F.monotonically_increasing_id().alias("rid"))
+    rows = materialize(found.select("rid", "carried", "s.sid", "s.keys"), "shingles")
+    links = set_links(rows.select("rid", "sid", "keys", F.col("carried").getField(text).alias("text")), shingle)
+    labels = connected_components(links)
+    named = rows.select("rid", "sid", F.col("carried").getField(doc_id).alias("id"), F.xxhash64("carried").alias("hash"))
+    # Copies are combined before the join, so that no large group of them meets in one task.
+    sets = materialize(one_per_label(named, "sid"), "sets")
+    joined = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    kept = one_per_label(joined.select(F.coalesce("component", "sid").alias("label"), "id", "hash", "rid"), "label")
+    return rows.join(materialize(kept.select("rid"), "kept"), "rid", "left_semi").select("carried.*")

@@ -1,0 +1,92 @@
+"""Links by the Jaccard similarity of shingles against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from quern.llm import jaccard
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def groups(texts):
+    sets = [shingles(t) for t in texts]
+    own = list(range(len(sets)))
+
+    def find(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                own[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+def kept_of(rows):
+    least = {}
+    for (i, _), g in zip(rows, groups([t for _, t in rows])):
+        least[g] = min(least.get(g, i), i)
+    return sorted(least.values())
+
+
+def chain(rng, n, steps):
+    """Texts of which each differs from the one before in a few words; the ends aren't similar."""
+    words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for _ in range(steps):
+        yield " ".join(words)
+        words = list(words)
+        words[rng.randrange(n)] = f"w{rng.randrange(10**6)}"
+
+
+def test_keeps_what_brute_force_keeps(spark):
+    rng = random.Random(1)
+    rows = [t for _ in range(25) for t in chain(rng, rng.choice([3, 20, 60, 120]), rng.randint(2, 7))]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(df).collect()) == kept_of(rows)
+
+
+def test_pipeline_stage_links_at_a_similarity_of_0_8(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER).collect()) == kept_of(rows)
+
+
+def test_sets_that_only_miss_the_smallest_of_their_key_are_linked(spark):
+    # One key for all sets: the pairs are those of brute force, whichever set is the smallest.
+    rng = random.Random(2)
+    rows = list(enumerate(t for _ in range(6) for t in chain(rng, 60, 4)))
+    found = [(i, i, jaccard.set_id(jaccard.shingle_hashes(t)), [7], t) for i, t in rows]
+    table = spark.createDataFrame(found, "doc_id long, rid long, sid long, keys array<long>, text string")
+    links = {(r["a"], r["b"]) for r in jaccard.set_links(table).collect()}
+    own = {s: s for _, _, s, _, _ in found}
+    for _ in own:
+        for a, b in links:
+            own[a] = own[b] = min(own[a], own[b])
+    assert len(set(own.values())) == len(set(groups([t for _, t in rows])))
+
+
+def test_repeated_and_missing_ids(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3))
+    rows = [(1, a), (2, a), (1, b), (1, b), (None, b), (None, c), (None, c), (9, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.keep_one(df).collect()), key=repr) == sorted([(1, a), (1, b), (None, c), (8, "")], key=repr)
+
+
+def test_odd_and_no_rows(odd, none):
+    assert jaccard.keep_one(odd).columns == odd.columns
+    assert jaccard.keep_one(none).collect() == []
