@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, quoted, table
+from quern.llm.common import materialize, one_per_label, quoted, table
 from quern.llm.components import connected_components
 
 SHINGLE = 4
@@ -248,13 +248,13 @@ def _parts(fps: DataFrame) -> int:
 
 
 def component_of_fingerprints(pairs: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """fp and component_id (smallest doc_id) of rows (doc_id, fp)."""
+    """fp, label (smallest fp of the component) and component_id (smallest doc_id) of rows (doc_id, fp)."""
     known = materialize(pairs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
     links = materialize(fingerprint_links(known.select("fp"), max_bits, max_bucket).distinct(), "links")
     labels = connected_components(links)
     joined = known.join(labels, known["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("label"))
     least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
-    return materialize(joined.join(least, "label").select("fp", "component_id"), "classes")
+    return materialize(joined.join(least, "label").select("fp", "label", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, shingle: int = SHINGLE, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -269,20 +269,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """One document of each group, that with the smallest id, with all columns.
 
-    Rows that share that id and the fingerprint are repeats: one stays. Rows
-    without id stay when no member of their group has one.
+    Rows without id come last; among equal ids a hash of the row decides.
     """
-    rows = materialize(with_fingerprints(docs, text, docs.columns), "simhash")
-    classes = component_of_fingerprints(rows.select(F.col(f"carried.{doc_id}").alias("doc_id"), "fp"), **params).withColumnRenamed("fp", "__fp")
-    out = rows.join(classes, F.col("fp") == F.col("__fp"), "left")
-    out = out.where(F.col("component_id").isNull() | (F.col(f"carried.{doc_id}") == F.col("component_id")))
-    named = rows.select(F.col(f"carried.{doc_id}").alias("id")).where("id IS NOT NULL")
-    repeated = materialize(named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
-    if repeated.isEmpty():
-        return out.select("carried.*")
-    again = out.join(repeated, F.col("component_id") == F.col("id"), "left")
-    once = again.where("id IS NOT NULL").groupBy("id").agg(F.min_by("carried", F.xxhash64("carried")).alias("carried"))
-    return again.where("id IS NULL").select("carried.*").unionByName(once.select("carried.*"))
+    rows = materialize(with_fingerprints(docs, text, docs.columns).withColumn("rid", F.monotonically_increasing_id()), "simhash")
+    named = rows.select("rid", "fp", F.col("carried").getField(doc_id).alias("id"), F.xxhash64("carried").alias("hash"))
+    classes = component_of_fingerprints(named.select(F.col("id").alias("doc_id"), "fp"), **params)
+    # Equal fingerprints are combined before the join, so that no large group of them meets in one task.
+    firsts = materialize(one_per_label(named, "fp"), "firsts")
+    kept = one_per_label(firsts.join(classes, "fp").select("label", "id", "hash", "rid"), "label")
+    return rows.join(materialize(kept.select("rid"), "kept"), "rid", "left_semi").select("carried.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

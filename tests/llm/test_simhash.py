@@ -63,6 +63,14 @@ def test_one_of_each_group_stays(odd):
     assert 104 in ids and 105 not in ids
 
 
+def test_one_stays_of_each_group_with_repeated_or_missing_ids(spark):
+    rng = random.Random(7)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (2, a), (1, b), (1, b), (None, b), (None, c), (None, c)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, a), (1, b), (None, c)], key=repr)
+
+
 def test_no_rows(none):
     assert simhash.near_duplicates(none).collect() == []
     assert simhash.keep_one(none).collect() == []
