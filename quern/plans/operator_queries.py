@@ -324,6 +324,12 @@ def join_salted(spark, d):
     return joins.salted_join(t.lineitem.where("l_quantity > 48"), t.part, [("l_partkey", "p_partkey")], 4, "left").select("l_orderkey", "l_linenumber", "p_brand")
 
 
+@query("SELECT l_orderkey, l_linenumber, p_brand FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+def join_salted_whole(spark, d):
+    t = Tables(spark, d)
+    return joins.salted_join(t.lineitem, t.part, [("l_partkey", "p_partkey")], 4, "left").select("l_orderkey", "l_linenumber", "p_brand")
+
+
 @query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey < 0) ON c_custkey = o_custkey GROUP BY c_custkey")
 def join_empty_side(spark, d):
     t = Tables(spark, d)
@@ -568,6 +574,12 @@ def unnest(spark, d):
     return reshape.unnest(e, "embedding", "x", "i").select("vec_id", F.col("i").cast("long").alias("i"), "x")
 
 
+@query("SELECT vec_id, CAST(i AS BIGINT) AS i, embedding[i] AS x FROM embeddings, range(1, 65) r(i)")
+def unnest_whole(spark, d):
+    e = Tables(spark, d).embeddings.select("vec_id", "embedding")
+    return reshape.unnest(e, "embedding", "x", "i").select("vec_id", F.col("i").cast("long").alias("i"), "x")
+
+
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY user_id")
 def pivot(spark, d):
     return reshape.pivot(Tables(spark, d).events, ["user_id"], "event_type", ["click", "view"], F.count(F.lit(1)), 0)
