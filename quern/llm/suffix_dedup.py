@@ -4,30 +4,39 @@ Texts are UTF-8 bytes; null is empty. A byte is removed when a string of
 ``min_len`` bytes covers it that starts at another place too, in the same
 document or another one; matches never cross documents.
 
-1. Every window of ``min_len`` bytes has an anchor: its ``GRAM``-byte string of
+1. Every window of ``min_len`` bytes has an anchor: its ``gram``-byte string of
    the least hash, the first of equal ones. The anchor depends on the window's
    bytes alone, so equal windows have equal anchors at equal offsets. Windows in
    a row with one anchor are one *context*, about 69 windows on average.
 2. Contexts whose anchor's hash occurs once hold nothing repeated: they end
    after one aggregation. Equal contexts become one, with a count.
-3. Where one anchor has different contexts, their bytes are fetched, and groups
-   of anchors are put through an enhanced suffix array: the suffixes that start
-   a window are sorted by prefix doubling, the common prefixes of neighbours
-   come from the same ranks, and a scan with a stack walks the tree of common-
-   prefix intervals. An interval of ``min_len`` or more whose members aren't
-   all preceded by the same byte is a maximal repeat, and all its members are
-   its occurrences, not only neighbours. A context that stands for several
-   equal ones is a repeat by itself.
+3. The bytes of each remaining context are fetched once, and groups of anchors
+   are put through an enhanced suffix array: the suffixes that start a window
+   are sorted, with the common prefixes of neighbours, and a scan with a stack
+   walks the tree of common-prefix intervals. A context with a count stands in
+   the array twice, so that equal suffixes are an interval like any other. An
+   interval of ``min_len`` or more whose members aren't all preceded by the
+   same byte is a repeat, and all its members are its occurrences, not only
+   neighbours.
 4. The covered stretches go back to all places of each context, and are merged
    per document.
 
-An anchor of over ``max_group`` different contexts isn't sorted in one task:
-its windows are counted one by one by a hash of their bytes, an aggregation
-that combines before the shuffle.
+All removed bytes come from intervals of the array. For them a context's first
+suffix passes for one that can't be extended to the left, as what stands before
+it belongs to another context; ``maximal_repeats`` looks at the real bytes.
+
+An anchor of over ``max_group`` different contexts is split by a longer prefix:
+each of its windows is a context of its own, dealt by its whole bytes. Equal
+ones are one with a count, so no group is left that grows with the data. The
+result doesn't depend on ``max_group``.
 
 Defined results: documents shorter than ``min_len`` keep everything; repeated
-rows lose every string they have in common; rows are told apart by id and a
-hash of the text, so rows that agree in both get the same result each.
+rows lose every string they have in common; ids may have any type and be null:
+rows are told apart by hashes of id and text, so rows that agree in both get
+the same result each. Long texts are hashed in chunks with an overlap, so
+memory doesn't follow them in the first step; their bytes are held once where
+spans are cut out. An empty table gives an empty result. Other columns, whatever
+their names, are carried along as they are.
 """
 
 from __future__ import annotations
@@ -40,22 +49,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, materialize, quoted, release, table, whole_row
+from quern.llm.common import broadcast_if_small, discard, materialize, quoted, release, table, whole_row
 
 MIN_LEN = 200
 #: Bytes of an anchor: a power of two.
 GRAM = 64
-#: Bytes that are hashed at a time, at most 2**POS_BITS with the overlap.
+#: Bytes that are hashed at a time, without the overlap.
 CHUNK = 1 << 19
-POS_BITS = 20
-#: Different contexts of one anchor that one task sorts at most.
-MAX_GROUP = 4096
+#: Different contexts of one anchor that share a group at most.
+MAX_GROUP = 512
 #: Contexts that share a task's group, about.
 GROUP_ROWS = 6000
 SEED = 42
+#: Bytes of a suffix that are compared at a time; the eighth says how many of them there are.
+DIGIT = 7
 _RNG = np.random.default_rng(SEED)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ODD = _RNG.integers(0, 1 << 62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _RNG.integers(0, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
@@ -68,17 +78,22 @@ def _mix(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A hash of the gram bytes from each place on, by doubling."""
     h, width, k = _BYTE[data], 1, 0
-    while width < gram:
+    while 2 * width <= gram:
         h = _mix(h[:-width], h[width:], k)
         width, k = 2 * width, k + 1
+    if width < gram:
+        h = _mix(h[: len(h) - (gram - width)], h[gram - width :], k)
     h *= _ODD[k]
     h ^= h >> np.uint64(29)
     return h
 
 
-def window_anchors(hashes: np.ndarray, span: int) -> np.ndarray:
-    """The place of the least of each ``span`` hashes in a row, the first of equal ones."""
-    mask = np.uint64((1 << POS_BITS) - 1)
+def window_anchors(hashes: np.ndarray, span: int, pos_bits: int) -> np.ndarray:
+    """The place of the least of each ``span`` hashes in a row, the first of equal ones.
+
+    The lowest ``pos_bits`` bits of a hash give way to its place.
+    """
+    mask = np.uint64((1 << pos_bits) - 1)
     m = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
     width = 1
     while 2 * width <= span:
@@ -90,27 +105,28 @@ def window_anchors(hashes: np.ndarray, span: int) -> np.ndarray:
 
 
 def contexts_of(texts: list[bytes], min_len: int = MIN_LEN, gram: int = GRAM, chunk: int = CHUNK):
-    """Yield arrays (text number, start, windows, anchor's offset, anchor's hash, context's hash)."""
+    """Yield arrays (text number, start, windows, anchor's hash, context's hash)."""
+    bits = (chunk + 2 * min_len).bit_length()
     segments, size = [], 0
     for number, text in enumerate(texts):
         for at in range(0, len(text) - min_len + 1, chunk):
             piece = text[at : at + chunk + min_len - 1]
             if size and size + len(piece) > chunk + min_len:
-                yield _contexts(segments, min_len, gram)
+                yield _contexts(segments, min_len, gram, bits)
                 segments, size = [], 0
             segments.append((number, at, piece))
             size += len(piece)
     if segments:
-        yield _contexts(segments, min_len, gram)
+        yield _contexts(segments, min_len, gram, bits)
 
 
-def _contexts(segments, min_len: int, gram: int):
+def _contexts(segments, min_len: int, gram: int, bits: int):
     data = np.frombuffer(b"".join(p for _, _, p in segments), np.uint8)
     lens = np.array([len(p) for _, _, p in segments])
     starts = np.cumsum(lens) - lens
     stops = starts + lens - min_len + 1  # of the windows
     hashes = gram_hashes(data, gram)
-    anchor = window_anchors(hashes, min_len - gram + 1)
+    anchor = window_anchors(hashes, min_len - gram + 1, bits)
     new = np.r_[True, anchor[1:] != anchor[:-1]]
     new[starts] = True
     valid = np.zeros(len(anchor) + 1, np.int64)
@@ -121,59 +137,98 @@ def _contexts(segments, min_len: int, gram: int):
     end = np.minimum(np.r_[begin[1:], len(anchor)], stops[seg])
     windows, offset = end - begin, anchor[begin] - begin
     last = windows + min_len - 1 - gram
-    mixed = (windows * 4096 + offset).astype(np.uint64) * _ODD[15]
+    mixed = (windows << 32 | offset).astype(np.uint64) * _ODD[63]
     for k, at in enumerate(range(0, 2 * min_len, gram)):
-        mixed = _mix(mixed, hashes[begin + np.minimum(at, last)], 8 + k % 7)
+        mixed = _mix(mixed, hashes[begin + np.minimum(at, last)], 48 + k % 7)
     numbers, ats = np.array([n for n, _, _ in segments]), np.array([a for _, a, _ in segments])
-    return numbers[seg], begin - starts[seg] + ats[seg], windows, offset, hashes[anchor[begin]].view(np.int64), mixed.view(np.int64)
+    return numbers[seg], begin - starts[seg] + ats[seg], windows, hashes[anchor[begin]].view(np.int64), mixed.view(np.int64)
 
 
-ANCHORS = "fp long, ctx long, doc_id long, th long, start int, windows int, offset int"
+ANCHORS = pa.schema([("fp", pa.int64()), ("ctx", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
 
 def _anchor_rows(min_len: int, gram: int, chunk: int):
-    schema = pa.schema([("fp", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("offset", pa.int32())])
-
     def run(batches):
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
-            for number, start, windows, offset, fp, ctx in contexts_of(texts, min_len, gram, chunk):
+            for number, start, windows, fp, ctx in contexts_of(texts, min_len, gram, chunk):
                 at = pa.array(number)
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(ctx), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(offset.astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(ctx), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], schema=ANCHORS)
 
     return run
 
 
-def prefix_ranks(data: np.ndarray, ends: np.ndarray, longest: int) -> list[np.ndarray]:
-    """Ranks of the strings of 1, 2, 4, ... bytes from each place on.
+def common_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bytes two arrays of digits share, at most as many as both have."""
+    out = np.minimum(a & np.uint64(255), b & np.uint64(255)).astype(np.int64)
+    differ = (a ^ b) >> np.uint64(8)
+    for k in range(DIGIT):  # the k-th byte from the top differs: at most k are common
+        out = np.where((differ >> np.uint64(8 * (DIGIT - 1 - k))) > 0, np.minimum(out, k), out)
+        differ &= np.uint64((1 << (8 * (DIGIT - 1 - k))) - 1)
+    return out
 
-    ``ends`` are the places of terminators; each differs from all else, so no
-    two suffixes are equal and none matches beyond its end.
-    """
-    first = data.astype(np.int64)
-    first[ends] = 256 + np.arange(len(ends))
-    ranks, width = [first.astype(np.int32)], 1
-    while width < longest:
-        r = ranks[-1].astype(np.int64)
-        key = r * (int(r.max()) + 2)
-        key[:-width] += r[width:] + 1
-        order = np.argsort(key)
-        sorted_key = key[order]
-        rank = np.empty(len(key), np.int32)
-        rank[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
-        ranks.append(rank)
-        width *= 2
-    return ranks
 
+def _agree(data: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> bool:
+    """Are the strings of ``length`` bytes at a and b equal, pair by pair?"""
+    if length < 8:
+        return all((data[a + k] == data[b + k]).all() for k in range(length))
+    return all((words[a + k] == words[b + k]).all() for k in [*range(0, length - 7, 8), length - 8])
 
-def common_prefixes(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the common prefixes of the suffixes at a and b."""
-    out = np.zeros(len(a), np.int64)
-    top = len(ranks[0]) - 1
-    for level in range(len(ranks) - 1, -1, -1):
-        same = ranks[level][np.minimum(a + out, top)] == ranks[level][np.minimum(b + out, top)]
-        out += same.astype(np.int64) << level
-    return out
+
+def suffix_array(pieces: list[bytes], windows: np.ndarray, counts: np.ndarray, min_len: int):
+    """(owner, place, lcp) of the suffixes that share min_len bytes with another one.
+
+    ``windows``: how many suffixes of each piece count, from its start on.
+    Suffixes are sorted by a hash of their first ``min_len`` bytes, which is
+    checked, and then by the bytes that follow, ``DIGIT`` at a time and among
+    equal ones only; no suffix goes beyond its piece. Any order in which equal
+    prefixes stand together gives the same intervals. A suffix of a piece with
+    a count of two or more stands twice. ``lcp``: common bytes with the suffix
+    before, 0 where these are fewer than min_len.
+    """
+    lens = np.array([len(p) for p in pieces], np.int64)
+    begins = np.cumsum(lens) - lens
+    raw = b"".join(pieces) + bytes(min_len + 16)
+    data = np.frombuffer(raw, np.uint8)
+    words = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))
+    n = np.minimum(np.maximum(lens - min_len + 1, 0), windows)
+    owner = np.repeat(np.arange(len(pieces)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = begins[owner] + place
+    names = gram_hashes(data, min_len)[at]
+    order = np.argsort(names, kind="stable")
+    again = np.r_[False, names[order][1:] == names[order][:-1]]
+    pair = np.flatnonzero(again)
+    if not _agree(data, words, at[order[pair]], at[order[pair - 1]], min_len):  # different strings of one hash
+        known: dict[bytes, int] = {}
+        names = np.array([known.setdefault(raw[x : x + min_len], len(known)) for x in at.tolist()])
+        order = np.argsort(names, kind="stable")
+        again = np.r_[False, names[order][1:] == names[order][:-1]]
+    kept = again | np.r_[again[1:], False] | (counts[owner[order]] > 1)
+    order, again = order[kept], again[kept]
+    lcp, rest = np.where(again, min_len, 0), lens[owner] - place
+    run = np.cumsum(~again)
+    depth = min_len
+    active = np.flatnonzero(again | np.r_[again[1:], False])
+    while len(active):
+        entry = order[active]
+        valid = np.clip(rest[entry] - depth, 0, DIGIT).astype(np.uint64)
+        mask = np.where(valid > 0, ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * np.maximum(valid, np.uint64(1))), np.uint64(0))
+        digit = (words[np.minimum(at[entry] + depth, len(words) - 1)].astype(np.uint64) & mask) | valid
+        own = run[active]
+        sort = np.lexsort((digit, own))
+        order[active], digit = entry[sort], digit[sort]
+        inner = np.flatnonzero(own[1:] == own[:-1]) + 1
+        lcp[active[inner]] = depth + common_bytes(digit[inner], digit[inner - 1])
+        tied = np.zeros(len(active), bool)
+        tied[inner] = (digit[inner] == digit[inner - 1]) & ((digit[inner] & np.uint64(255)) == DIGIT)
+        run[active] = np.cumsum(~tied)
+        active = active[tied | np.r_[tied[1:], False]]
+        depth += DIGIT
+    twice = np.repeat(np.arange(len(order)), 1 + (counts[owner[order]] > 1))
+    own = np.r_[False, twice[1:] == twice[:-1]]
+    order = order[twice]
+    return owner[order], place[order], np.where(own, rest[order], lcp[twice])
 
 
 def maximal_intervals(lcp: list[int], changes: list[int], min_len: int):
@@ -195,166 +250,280 @@ def maximal_intervals(lcp: list[int], changes: list[int], min_len: int):
             stack.append((here, first))
 
 
-def repeats_in(pieces: list[bytes], min_len: int = MIN_LEN):
+def repeats_in(pieces: list[bytes], min_len: int = MIN_LEN, counts=None, before: list[bytes] | None = None, windows=None):
     """The enhanced suffix array of some byte strings, scanned for maximal repeats.
 
-    Returns (owner, place, groups): the sorted suffixes that are at least
-    min_len long, as number of the string and offset in it, and a list of
-    (first, last, length) over them.
+    ``counts``: how many equal strings each one stands for; ``before``: the
+    byte that precedes each, empty at the start of a text or where it counts
+    as one. Returns (owner, place, groups): the sorted suffixes as number of
+    the string and offset in it, and arrays (first, last, length) over them.
     """
+    counts = np.ones(len(pieces), np.int64) if counts is None else np.asarray(counts, np.int64)
+    windows = np.full(len(pieces), 1 << 40) if windows is None else np.asarray(windows, np.int64)
+    owner, place, lcp = suffix_array(pieces, windows, counts, min_len)
+    if not len(owner):
+        return owner, place, (np.empty(0, np.int64),) * 3
+    data = np.frombuffer(b"".join(pieces) or b"\0", np.uint8)
     lens = np.array([len(p) for p in pieces], np.int64)
-    ends = np.cumsum(lens + 1) - 1
-    begins = ends - lens
-    data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-    ranks = prefix_ranks(data, ends, int(lens.max()) + 1)
-    n = np.maximum(lens - min_len + 1, 0)
-    owner = np.repeat(np.arange(len(pieces)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = begins[owner] + place
-    order = np.argsort(ranks[-1][at])
-    owner, place, at = owner[order], place[order], at[order]
-    lcp = np.r_[0, common_prefixes(ranks, at[:-1], at[1:])]
-    before = np.where(place > 0, data[at - 1].astype(np.int64), 256 + at)
-    changes = np.cumsum(np.r_[0, before[1:] != before[:-1]])
-    return owner, place, list(maximal_intervals(lcp.tolist(), changes.tolist(), min_len))
-
-
-def _merge(starts: np.ndarray, stops: np.ndarray) -> list[int]:
-    """The union of intervals as start, stop, start, stop, ..."""
-    order = np.argsort(starts, kind="stable")
-    starts, reach = starts[order], np.maximum.accumulate(stops[order])
-    new = np.r_[True, starts[1:] > reach[:-1]]
-    return np.stack([starts[new], np.r_[reach[:-1][new[1:]], reach[-1:]]], 1).ravel().tolist()
+    begins = np.cumsum(lens) - lens
+    edge = np.array([b[0] if b else -1 for b in before] if before is not None else np.full(len(pieces), -1), np.int64)
+    left = np.where(place > 0, data[np.maximum(begins[owner] + place - 1, 0)].astype(np.int64), edge[owner])
+    left = np.where(left < 0, 256 + np.arange(len(left)), left)
+    differs = np.r_[False, left[1:] != left[:-1]]
+    # Runs of suffixes that share min_len bytes; two suffixes are an interval without a stack.
+    first = np.flatnonzero(lcp == 0)
+    size = np.diff(np.r_[first, len(lcp)])
+    two = first[size == 2]
+    two = two[differs[two + 1]]
+    found = [np.stack([two, two + 1, lcp[two + 1]])]
+    many = np.repeat(size > 2, size)
+    at = np.flatnonzero(many)
+    if len(at):
+        inner = list(maximal_intervals(lcp[at].tolist(), np.cumsum(differs[at]).tolist(), min_len))
+        if inner:
+            a = np.array(inner, np.int64).T
+            found.append(np.stack([at[a[0]], at[a[1]], a[2]]))
+    return owner, place, tuple(np.concatenate(found, axis=1))
+
+
+def union(who: np.ndarray, starts: np.ndarray, stops: np.ndarray):
+    """The union of the intervals of each owner, as arrays (owner, start, stop)."""
+    order = np.lexsort((starts, who))
+    lift = who[order].astype(np.int64) << 40
+    starts, reach = starts[order] + lift, np.maximum.accumulate(stops[order] + lift)
+    new = np.r_[True, starts[1:] > reach[:-1]][: len(starts)]
+    at = np.flatnonzero(new)
+    ends = reach[np.r_[at[1:] - 1, len(reach) - 1]] if len(at) else reach[:0]
+    return who[order][at], starts[at] - lift[at], ends - lift[at]
+
+
+SPANS = "fp long, ctx long, start int, stop int"
 
 
 def _covered(min_len: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        owner, place, groups = repeats_in(pdf["piece"].tolist(), min_len)
+        owner, place, (first, last, length) = repeats_in(pdf["piece"].tolist(), min_len, pdf["n"].to_numpy())
+        # Longer intervals are written last, so that each suffix ends with its longest one.
+        sort = np.argsort(length, kind="stable")
         reach = np.zeros(len(owner), np.int64)
-        for first, last, length in groups:
-            np.maximum(reach[first : last + 1], length, out=reach[first : last + 1])
-        found = np.flatnonzero(reach)
-        order = found[np.argsort(owner[found], kind="stable")]
-        cuts = np.flatnonzero(np.r_[True, np.diff(owner[order]) > 0]) if len(order) else []
-        rows = [(owner[p[0]], _merge(place[p], place[p] + reach[p])) for p in np.split(order, cuts[1:])] if len(order) else []
-        at = np.array([o for o, _ in rows], np.int64)
-        return pd.DataFrame({"fp": pdf["fp"].to_numpy()[at], "ctx": pdf["ctx"].to_numpy()[at], "spans": [s for _, s in rows]})
+        n = (last - first + 1)[sort]
+        member = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[sort], n)
+        reach[member] = np.repeat(length[sort], n)
+        hit = np.flatnonzero(reach)
+        who, start, stop = union(owner[hit], place[hit], place[hit] + reach[hit])
+        return pd.DataFrame({"fp": pdf["fp"].to_numpy()[who], "ctx": pdf["ctx"].to_numpy()[who], "start": start.astype(np.int32), "stop": stop.astype(np.int32)})
 
     return run
 
 
-def _groups(min_len: int):
+def grouped(pieces: DataFrame, key: str):
+    """Pieces to be sorted, all of one key in one group, many keys in each."""
+    spark = pieces.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces.count() // GROUP_ROWS)
+    return pieces.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts))).groupBy("part")
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """id and th (hashes of id and text) and text of each row."""
+    return docs.select(F.xxhash64(quoted(doc_id)).alias("id"), F.xxhash64(quoted(text)).alias("th"), F.col(quoted(text)).cast("string").alias("text"))
+
+
+def repeated_places(docs: DataFrame, min_len: int, gram: int, chunk: int) -> DataFrame:
+    """Contexts (fp, ctx, id, th, start, windows) whose anchor occurs twice or more; materialized."""
+    if gram & (gram - 1) or gram > min_len:
+        raise ValueError("gram must be a power of two, and not over min_len")
+    schema = "fp long, ctx long, id long, th long, start int, windows int"
+    anchors = materialize(docs.mapInArrow(_anchor_rows(min_len, gram, chunk), schema), "anchors")
+    twice = anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = materialize(twice.select(F.col("fp").alias("__fp")), "twice")
+    places = materialize(anchors.join(twice, F.col("fp") == F.col("__fp"), "left_semi"), "places")
+    discard(anchors, twice)
+    release(docs.sparkSession)
+    return places
+
+
+def fetch(docs: DataFrame, wanted: DataFrame, cut) -> DataFrame:
+    """The columns of ``wanted`` but id and th, with ``piece`` = cut(raw bytes, row).
+
+    ``wanted``: id, th and others. Rows of one text are fetched together.
+    """
+    names = [c for c in wanted.columns if c not in ("id", "th")]
+    by_doc = wanted.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct(*names)).alias("__need"))
+    by_doc = materialize(by_doc, "needed")
+    with_text = docs.join(by_doc, (F.col("id") == F.col("__id")) & (F.col("th") == F.col("__th")))
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    once = with_text.select(F.transform(F.array(raw), lambda b: F.transform("__need", lambda x: F.struct(*[x[c].alias(c) for c in names], *cut(b, x)))).alias("x"))
+    return once.select(F.explode(F.flatten("x")).alias("x")).select("x.*")
+
+
+def _bytes(raw, start, length):
+    return F.call_function("substring", raw, start + 1, length)
+
+
+def covered_spans(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, max_group: int = MAX_GROUP, chunk: int = CHUNK) -> DataFrame:
+    """id, th and spans (start, stop, start, ...; unmerged) of rows (id, th, text) with repeats; materialized."""
+    spark = docs.sparkSession
+    places = repeated_places(docs, min_len, gram, chunk)
+    rep = F.min(F.struct("id", "th", "start", "windows")).alias("rep")
+    own = materialize(places.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), rep), "contexts")
+    hot = materialize(own.groupBy("fp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > max_group).select(F.col("fp").alias("__fp")), "hot")
+    wanted = own.select("rep.id", "rep.th", "fp", "ctx", "n", "rep.start", "rep.windows")
+    pieces = fetch(docs, wanted, lambda raw, x: [_bytes(raw, x["start"], x["windows"] + min_len - 1).alias("piece")])
+    pieces = pieces.select("fp", "ctx", "n", "piece").dropDuplicates(["fp", "ctx"])
+    pieces = materialize(pieces.join(broadcast_if_small(hot), F.col("fp") == F.col("__fp"), "left"), "pieces")
+    discard(own)
+    release(spark)
+    cold = pieces.where("__fp IS NULL").drop("__fp")
+    spans = grouped(cold, "fp").applyInPandas(_covered(min_len), SPANS)
+    made = [places, hot, pieces]
+    if not hot.isEmpty():
+        at = F.sequence(F.lit(0), F.octet_length("piece") - min_len)
+        windows = pieces.where("__fp IS NOT NULL").select("fp", "ctx", "n", "piece", F.explode(at).alias("at"))
+        windows = windows.select("fp", "ctx", "n", "at", _bytes(F.col("piece"), F.col("at"), F.lit(min_len)).alias("w"))
+        windows = windows.select("*", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(SEED), "w").alias("g"))
+        single = windows.groupBy("h", "g").agg(F.sum("n").alias("n"), F.first("w").alias("piece")).where("n > 1")
+        single = materialize(single.select(F.col("h").alias("fp"), F.col("g").alias("ctx"), "n", "piece"), "windows")
+        found = grouped(single, "fp").applyInPandas(_covered(min_len), SPANS)
+        found = materialize(found.select(F.col("fp").alias("__h"), F.col("ctx").alias("__g")), "hot-spans")
+        hit = windows.drop("w").join(found, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g")), "left_semi")
+        spans = spans.unionByName(hit.select("fp", "ctx", F.col("at").alias("start"), (F.col("at") + min_len).alias("stop")))
+        made += [single, found]
+    spans = materialize(spans.select(F.col("fp").alias("__fp"), F.col("ctx").alias("__ctx"), F.col("start").alias("__start"), "stop"), "spans")
+    release(spark)
+    hit = places.select("fp", "ctx", "id", "th", "start").join(spans, (F.col("fp") == F.col("__fp")) & (F.col("ctx") == F.col("__ctx")))
+    moved = hit.select("id", "th", F.array(F.col("start") + F.col("__start"), F.col("start") + F.col("stop")).alias("span"))
+    out = materialize(moved.groupBy("id", "th").agg(F.flatten(F.collect_list("span")).alias("spans")), "removed")
+    discard(*made, spans)
+    release(spark)
+    return out
+
+
+NODES = "repeat_id long, length int, fp long, ctx long, at int"
+
+
+def _name(string: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big", signed=True)
+
+
+def _nodes(min_len: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pieces = pdf["piece"].tolist()
-        owner, place, groups = repeats_in(pieces, min_len)
-        fp, ctx, out = pdf["fp"].to_numpy(), pdf["ctx"].to_numpy(), []
-        for first, last, length in groups:
-            o, p = owner[first], int(place[first])
-            name = int.from_bytes(hashlib.blake2b(pieces[o][p : p + length], digest_size=8).digest(), "big", signed=True)
-            out += [(name, length, fp[owner[t]], ctx[owner[t]], int(place[t])) for t in range(first, last + 1)]
-        return pd.DataFrame(out, columns=["repeat_id", "length", "fp", "ctx", "at"])
+        owner, place, groups = repeats_in(pieces, min_len, pdf["n"].to_numpy(), pdf["before"].tolist(), pdf["windows"].to_numpy())
+        names, lengths, members = [], [], [np.empty((2, 0), np.int64)]
+        for first, last, length in zip(*(g.tolist() for g in groups)):
+            p = int(place[first])
+            # A piece that stands twice for its copies is one member.
+            own = np.unique(np.stack([owner[first : last + 1], place[first : last + 1]]), axis=1)
+            names.append(np.full(own.shape[1], _name(pieces[owner[first]][p : p + length])))
+            lengths.append(np.full(own.shape[1], length))
+            members.append(own)
+        o, k = np.concatenate(members, axis=1)
+        fp, ctx, at = (pdf[c].to_numpy() for c in ("fp", "ctx", "at"))
+        return pd.DataFrame({"repeat_id": np.concatenate([np.empty(0, np.int64), *names]), "length": np.concatenate([np.empty(0, np.int64), *lengths]), "fp": fp[o], "ctx": ctx[o], "at": at[o] + k})
 
     return run
 
 
-class Contexts:
-    """The steps up to the contexts that need sorting, each written once."""
-
-    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_len: int = MIN_LEN, gram: int = GRAM, max_group: int = MAX_GROUP, chunk: int = CHUNK):
-        if gram & (gram - 1) or gram > min_len:
-            raise ValueError("gram must be a power of two, and not over min_len")
-        self.min_len, self.spark = min_len, docs.sparkSession
-        self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-        anchors = materialize(self.docs.mapInArrow(_anchor_rows(min_len, gram, chunk), ANCHORS), "anchors")
-        counts = anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        twice = materialize(counts.select(F.col("fp").alias("__fp")), "twice")
-        #: Every place whose anchor occurs twice or more.
-        self.places = materialize(anchors.join(twice, F.col("fp") == F.col("__fp"), "left_semi"), "places")
-        discard(anchors, twice)
-        release(self.spark)
-        rep = F.min(F.struct("doc_id", "th", "start", "windows")).alias("rep")
-        own = materialize(self.places.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), rep), "contexts")
-        #: Contexts that occur twice or more as a whole.
-        self.whole = own.where("n > 1").select("fp", "ctx", F.array(F.lit(0), F.col("rep.windows") + min_len - 1).alias("spans"))
-        several = materialize(own.groupBy("fp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("fp").alias("__fp"), "m"), "several")
-        needed = own.join(several, F.col("fp") == F.col("__fp")).select("rep.*", "fp", "ctx", "n", "m")
-        by_doc = needed.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("fp", "ctx", "n", "m", "start", "windows")).alias("__need"))
-        by_doc = materialize(by_doc, "needed")
-        with_text = self.docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
-        with_text = with_text.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"), "__need")
-
-        def fetch(x):
-            return F.struct(x["fp"].alias("fp"), x["ctx"].alias("ctx"), x["n"].alias("n"), x["m"].alias("m"), F.call_function("substring", F.col("raw"), x["start"] + 1, x["windows"] + min_len - 1).alias("piece"))
-
-        found = with_text.select(F.explode(F.transform("__need", fetch)).alias("x")).select("x.*").dropDuplicates(["fp", "ctx"])
-        found = materialize(found, "pieces")
-        discard(by_doc, several)
-        release(self.spark)
-        self._tables = [self.places, own, found]
-        self.sorted, self.hot = found.where(F.col("m") <= max_group), found.where(F.col("m") > max_group)
-
-    def discard(self) -> None:
-        """Delete all tables, when what was made of them has been written."""
-        discard(*self._tables)
-
-    def grouped(self):
-        """Contexts to be sorted, all of an anchor in one group, many anchors in each."""
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.sorted.count() // GROUP_ROWS)
-        return self.sorted.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(parts))).groupBy("part")
-
-    def hot_spans(self) -> DataFrame:
-        """Repeated windows of contexts with hot anchors, each window as a span of its own."""
-        if self.hot.isEmpty():
-            return self.hot.select("fp", "ctx", F.array().cast("array<int>").alias("spans")).limit(0)
-        length = self.min_len
-        at = F.sequence(F.lit(0), F.octet_length("piece") - length)
-        cut = F.transform(at, lambda i: F.struct(i.alias("at"), F.call_function("substring", F.col("piece"), i + 1, F.lit(length)).alias("w")))
-        hashed = F.transform(cut, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["w"]).alias("h"), F.xxhash64(F.lit(SEED), x["w"]).alias("g")))
-        windows = self.hot.select("fp", "ctx", F.explode(hashed).alias("x")).select("fp", "ctx", "x.*")
-        twice = windows.groupBy("fp", "h", "g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-        twice = materialize(twice.select(F.col("fp").alias("__fp"), F.col("h").alias("__h"), F.col("g").alias("__g")), "hot")
-        self._tables.append(twice)
-        found = windows.join(twice, (F.col("fp") == F.col("__fp")) & (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g")), "left_semi")
-        return found.select("fp", "ctx", F.array(F.col("at"), F.col("at") + length).alias("spans"))
-
-
-def covered_spans(contexts: Contexts) -> DataFrame:
-    """doc_id, th and spans (arrays of start, stop; unmerged) of documents with repeats."""
-    sorted_ = contexts.grouped().applyInPandas(_covered(contexts.min_len), "fp long, ctx long, spans array<int>")
-    parts = sorted_.unionByName(contexts.hot_spans()).unionByName(contexts.whole)
-    parts = materialize(parts.select(F.col("fp").alias("__fp"), F.col("ctx").alias("__ctx"), "spans"), "spans")
-    contexts._tables.append(parts)
-    release(contexts.spark)
-    at = contexts.places.select("fp", "ctx", "doc_id", "th", "start")
-    hit = at.join(parts, (F.col("fp") == F.col("__fp")) & (F.col("ctx") == F.col("__ctx")))
-    moved = hit.select("doc_id", "th", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
-    return moved.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-
-def maximal_repeats(docs: DataFrame, **params) -> DataFrame:
+def _split_nodes(rows: DataFrame, width: int, max_group: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Intervals of classes that are too large for one group, found by aggregations.
+
+    ``rows``: key, fp, ctx, n, before, piece (a suffix), at. All pieces of a
+    key share a prefix, at first ``width`` bytes. The common prefix of a class
+    is that of its least and greatest piece; the class is one interval, and
+    falls into classes by the byte that follows. Returns the rows of classes
+    of at most ``max_group`` pieces, and the intervals of the others.
+    """
+
+    @F.pandas_udf("int")
+    def common(lo: pd.Series, hi: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(lo, hi):
+            x, y = (np.frombuffer(v[: min(len(a), len(b))], np.uint8) for v in (a, b))
+            bad = np.flatnonzero(x != y)
+            out.append(int(bad[0]) if len(bad) else len(x))
+        return pd.Series(out)
+
+    name = F.udf(lambda b: _name(bytes(b)), "long")
+    small, nodes = [], []
+    while True:
+        size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min("piece").alias("lo"), F.max("piece").alias("hi"), F.min("before").alias("b0"), F.max("before").alias("b1"))
+        large = size.where(F.col("m") > max_group).select(F.col("key").alias("__key"), "total", common("lo", "hi").alias("depth"), "lo", "b0", "b1")
+        large = materialize(large.withColumn("rid", name(F.substring("lo", F.lit(1), F.col("depth")))).drop("lo"), "classes")
+        if large.isEmpty():
+            return rows, nodes
+        rest = materialize(rows.join(large.select("__key"), F.col("key") == F.col("__key"), "left_anti"), "small")
+        inside = rows.join(large, F.col("key") == F.col("__key"))
+        # Repeats of 2 * width or more are only noted here.
+        diverse = (F.col("b0") != F.col("b1")) | ((F.octet_length("b0") == 0) & (F.col("total") > 1)) | (F.col("depth") >= 2 * width)
+        nodes.append(materialize(inside.where(diverse).select(F.col("rid").alias("repeat_id"), F.col("depth").alias("length"), "fp", "ctx", "at"), "nodes"))
+        deeper = inside.where((F.octet_length("piece") > F.col("depth")) & (F.col("depth") < 2 * width))
+        key = F.xxhash64("key", "depth", F.substring("piece", F.col("depth") + 1, F.lit(1)))
+        rows = materialize(rest.unionByName(deeper.select(key.alias("key"), *[c for c in rest.columns if c != "key"])), "split")
+
+
+def repeats_of_width(docs: DataFrame, width: int, gram: int, max_group: int, chunk: int) -> DataFrame:
+    """Maximal repeats of ``width`` to 2 * width - 1 bytes, and longer ones cut at 2 * width or more.
+
+    Each context is taken with the byte before it and ``width`` bytes after it,
+    so every suffix that starts in it shows 2 * width bytes or all there are.
+    """
+    spark = docs.sparkSession
+    places = repeated_places(docs, width, gram, chunk)
+    wanted = places.select("id", "th", "fp", F.col("id").alias("doc"), F.col("th").alias("hash"), "start", "windows")
+
+    def cut(raw, x):
+        return [_bytes(raw, x["start"] - 1, F.when(x["start"] > 0, 1).otherwise(0)).alias("before"), _bytes(raw, x["start"], x["windows"] + 2 * width - 1).alias("piece")]
+
+    found = fetch(docs, wanted, cut)
+    found = found.select("*", F.xxhash64("before", "piece", "windows").alias("ctx"))
+    places = materialize(found.select("fp", "ctx", "doc", "hash", "start"), "copies")
+    own = materialize(found.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.first("before").alias("before"), F.first("piece").alias("piece"), F.first("windows").alias("windows")), "contexts")
+    hot = materialize(own.groupBy("fp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > max_group).select(F.col("fp").alias("__fp")), "hot")
+    own = own.join(broadcast_if_small(hot), F.col("fp") == F.col("__fp"), "left").withColumn("at", F.lit(0))
+    nodes = [grouped(own.where("__fp IS NULL").drop("__fp"), "fp").applyInPandas(_nodes(width), NODES)]
+    if not hot.isEmpty():
+        each = own.where("__fp IS NOT NULL").select("fp", "ctx", "n", "before", "piece", F.explode(F.sequence(F.lit(0), F.least(F.col("windows"), F.octet_length("piece") - width + 1) - 1)).alias("at"))
+        before = F.when(F.col("at") > 0, _bytes(F.col("piece"), F.col("at") - 1, F.lit(1))).otherwise(F.col("before"))
+        suffix = _bytes(F.col("piece"), F.col("at"), F.lit(2 * width))
+        each = each.select(F.xxhash64(F.substring(suffix, 1, width)).alias("key"), "fp", "ctx", "n", before.alias("before"), suffix.alias("piece"), "at")
+        small, more = _split_nodes(materialize(each, "suffixes"), width, max_group)
+        nodes += [grouped(small.withColumn("windows", F.lit(1)), "key").applyInPandas(_nodes(width), NODES), *more]
+    all_nodes = nodes[0]
+    for more in nodes[1:]:
+        all_nodes = all_nodes.unionByName(more)
+    all_nodes = materialize(all_nodes.distinct(), "nodes")
+    out = all_nodes.join(places, ["fp", "ctx"]).select("repeat_id", "length", F.col("doc").alias("id"), F.col("hash").alias("th"), (F.col("start") + F.col("at")).alias("start"))
+    return materialize(out.distinct(), "repeats")
+
+
+def maximal_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_len: int = MIN_LEN, gram: int = GRAM, max_group: int = MAX_GROUP, chunk: int = CHUNK) -> DataFrame:
     """repeat_id, length, doc_id and start of each occurrence of each maximal repeat.
 
-    Repeats are found within contexts, so one that is longer than a context is
-    a chain of overlapping groups. Contexts that repeat as a whole are groups
-    too; hot anchors give groups of single windows.
+    A string of ``min_len`` bytes or more that can't be made longer on either
+    side without losing one of its occurrences. The lengths are covered in
+    octaves: windows of w bytes find the repeats of w to 2w - 1, and documents
+    in which longer ones begin are looked at again with windows of 2w. Repeated
+    rows (equal id and text) count as one.
     """
-    c = Contexts(docs, **params)
-    inner = c.grouped().applyInPandas(_groups(c.min_len), "repeat_id long, length int, fp long, ctx long, at int")
-    whole = c.whole.select(F.xxhash64("fp", "ctx").alias("repeat_id"), F.get("spans", F.lit(1)).alias("length"), "fp", "ctx", F.lit(0).alias("at"))
-    hot = c.hot_spans().select(F.xxhash64("fp", "ctx", "spans").alias("repeat_id"), F.lit(c.min_len).alias("length"), "fp", "ctx", F.get("spans", F.lit(0)).alias("at"))
-    groups = inner.unionByName(whole).unionByName(hot)
-    return groups.join(c.places.select("fp", "ctx", "doc_id", "start"), ["fp", "ctx"]).select("repeat_id", "length", "doc_id", (F.col("start") + F.col("at")).alias("start"))
+    rows = materialize(docs.select(F.xxhash64(quoted(doc_id)).alias("id"), F.xxhash64(quoted(text)).alias("th"), F.col(quoted(text)).cast("string").alias("text"), F.col(quoted(doc_id)).alias("doc_id")).dropDuplicates(["id", "th"]), "rows")
+    left, width, out = rows.drop("doc_id"), min_len, None
+    while True:
+        found = repeats_of_width(left, width, gram, max_group, max(chunk, 2 * width))
+        exact = found.where(F.col("length") < 2 * width)
+        out = exact if out is None else out.unionByName(exact)
+        longer = materialize(found.where(F.col("length") >= 2 * width).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "longer")
+        if longer.isEmpty():
+            break
+        left, width = left.join(longer, (F.col("id") == F.col("__id")) & (F.col("th") == F.col("__th")), "left_semi"), 2 * width
+    return out.join(rows.drop("text"), ["id", "th"]).select("repeat_id", "length", "doc_id", "start")
 
 
 def with_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
-    """``docs`` (as a struct ``row``), the whole text ``text`` and its ``spans``, null if none."""
-    contexts = Contexts(docs, doc_id, text, **params)
-    found = materialize(covered_spans(contexts), "removed")
-    contexts.discard()
-    release(docs.sparkSession)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "spans")
-    rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).cast("long").alias("__rid"), F.xxhash64(text).alias("__rth"))
-    joined = rows.join(found, F.col("__rid").eqNullSafe(F.col("__id")) & (F.col("__rth") == F.col("__th")), "left")
+    """``docs`` (as a struct ``row``) and its ``spans``, null if none."""
+    found = covered_spans(keyed(docs, doc_id, text), **params)
+    found = found.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "spans")
+    rows = docs.select(whole_row(docs).alias("row"), F.xxhash64(quoted(doc_id)).alias("__rid"), F.xxhash64(quoted(text)).alias("__rth"))
+    joined = rows.join(found, (F.col("__rid") == F.col("__id")) & (F.col("__rth") == F.col("__th")), "left")
     return joined.select("row", "spans")
 
 
@@ -363,7 +532,8 @@ def merged_spans(spans) -> list[int]:
     if spans is None or not len(spans):
         return []
     a = np.asarray(spans, np.int64)
-    return _merge(a[0::2], a[1::2])
+    _, starts, stops = union(np.zeros(len(a) // 2, np.int64), a[0::2], a[1::2])
+    return np.stack([starts, stops], 1).ravel().tolist()
 
 
 def cut_out(raw: bytes, spans: list[int]) -> bytes:
@@ -386,20 +556,23 @@ def whole_characters(raw: bytes, spans: list[int]) -> list[int]:
 
 def removal_digests(found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of with_spans."""
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text_, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for text_, spans in zip(*(batch.column(k).to_pylist() for k in (1, 2))):
                 raw, cut = (text_ or "").encode(), merged_spans(spans)
                 kept = cut_out(raw, cut)
-                rows.append((doc, len(raw), len(raw) - len(kept), len(cut) // 2, hashlib.sha256(kept).hexdigest()))
+                rows.append((len(raw), len(raw) - len(kept), len(cut) // 2, hashlib.sha256(kept).hexdigest()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=names)
 
-    return found.select(F.col(f"row.{doc_id}").cast("long").alias("doc_id"), F.col(f"row.{text}").alias("text"), "spans").mapInArrow(run, schema)
+    row = F.col("row")
+    read = found.select(row.getField(doc_id).alias("doc_id"), row.getField(text).cast("string").alias("text"), "spans")
+    kind = read.schema["doc_id"].dataType.simpleString()
+    return read.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", **params) -> DataFrame:
@@ -419,11 +592,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pd.Series(out, dtype=object)
 
     found = with_spans(docs, doc_id, text, **params)
-    new = found.withColumn("new", F.when(F.col("spans").isNull(), F.col(f"row.{text}")).otherwise(cut(F.col(f"row.{text}"), F.col("spans"))))
+    new = found.withColumn("new", F.when(F.col("spans").isNull(), F.col("row").getField(text)).otherwise(cut(F.col("row").getField(text), F.col("spans"))))
     given = {text: F.col("new")}
     if n_chars in docs.columns:
-        given[n_chars] = F.when(F.col("spans").isNull(), F.col(f"row.{n_chars}")).otherwise(F.char_length("new").cast(docs.schema[n_chars].dataType))
-    return new.select(*[given.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns])
+        given[n_chars] = F.when(F.col("spans").isNull(), F.col("row").getField(n_chars)).otherwise(F.char_length("new").cast(docs.schema[n_chars].dataType))
+    return new.select(*[given.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,16 +72,73 @@ def test_only_whole_characters_are_cut(spark):
     assert got[1]["n_chars"] == 4
 
 
-def test_maximal_repeats_have_all_occurrences(spark):
-    a = "the quick brown fox jumps over it"
-    df = spark.createDataFrame([(1, "x" + a + "1"), (2, "y" + a + "2"), (3, "z" + a + "3")], "doc_id long, text string")
-    got = sd.maximal_repeats(df, min_len=20, gram=8).collect()
+def brute_repeats(texts, n):
+    """(string, its places) of every maximal repeat of n bytes or more, by extending each repeated string."""
+    at = collections.defaultdict(set)
+    for o, t in enumerate(texts):
+        for i in range(len(t) - n + 1):
+            at[t[i : i + n]].add((o, i))
+    out = set()
+    for s, places in at.items():
+        todo = [(len(s), frozenset(places))]
+        while todo:
+            length, group = todo.pop()
+            if len(group) < 2:
+                continue
+            after = collections.defaultdict(set)
+            for o, i in group:
+                after[texts[o][i + length] if i + length < len(texts[o]) else ("end", o)].add((o, i))
+            if len(after) > 1:
+                before = {texts[o][i - 1] if i else ("start", o) for o, i in group}
+                if len(before) > 1:
+                    out.add((length, group))
+                todo += [(length + 1, frozenset(g)) for k, g in after.items() if not isinstance(k, tuple)]
+            elif not isinstance(next(iter(after)), tuple):
+                todo.append((length + 1, group))
+    return out
+
+
+def found_repeats(df, **params):
     groups = collections.defaultdict(set)
-    for r in got:
-        groups[r["repeat_id"]].add((r["doc_id"], r["start"], r["length"]))
-    assert all({d for d, _, _ in g} == {1, 2, 3} for g in groups.values())
-    covered = {s + k for g in groups.values() for d, s, n in g if d == 1 for k in range(n)}
-    assert covered == set(range(1, 1 + len(a)))
+    for r in sd.maximal_repeats(df, **params).collect():
+        groups[r["repeat_id"], r["length"]].add((r["doc_id"], r["start"]))
+    return {(length, frozenset(g)) for (_, length), g in groups.items()}
+
+
+@pytest.mark.parametrize("params", [{}, {"max_group": 2}])
+def test_maximal_repeats_are_those_of_brute_force(spark, params):
+    rng = random.Random(8)
+    long, short = ("".join(rng.choices("abcde", k=k)) for k in (1000, 90))
+    texts = [long, "x" + long + "y", "y" + long[:700] + "z" + long[100:], long[300:] + short, short + long[:950], "q" + short + "w" + short[10:], short + "e" + short, "ab" * 60, "b" + short[:60] + "r", "c" + short[:60] + "s", "d" + short[:60] + "t", "é" + long[40:120]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_repeats([t.encode() for t in texts], 40)
+    assert max(n for n, _ in want) >= 900
+    assert found_repeats(df, min_len=40, gram=16, **params) == want
+
+
+def test_removed_bytes_are_those_under_maximal_repeats(spark):
+    rows = [(i, t) for i, t in passages()[:60] if t]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    repeats = found_repeats(df, min_len=40, gram=16)
+    for r in sd.with_spans(df, min_len=40, gram=16).collect():
+        under = {k for n, g in repeats for d, s in g if d == r["row"]["doc_id"] for k in range(s, s + n)}
+        spans = sd.merged_spans(r["spans"])
+        assert under == {k for a, b in zip(spans[0::2], spans[1::2]) for k in range(a, b)}
+
+
+def test_long_texts_are_hashed_in_chunks(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefgh ", k=1_200_000))
+    rows = [(1, long), (2, "head " + long[700_000:700_500] + " tail"), (3, long[:400_000])]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, 200)
+
+
+def test_ids_of_any_type_and_names_with_dots(spark):
+    shared = "".join(random.Random(4).choices("abcdef", k=300))
+    df = spark.createDataFrame([("a", "1" + shared), ("b", shared + "2")], "`my.id` string, `the.text` string")
+    found = sd.removal_digests(sd.with_spans(df, "my.id", "the.text"), "my.id", "the.text").collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in found) == [("a", 300), ("b", 300)]
+    assert sorted(map(tuple, sd.remove_repeats(df, "my.id", "the.text").collect())) == [("a", "1"), ("b", "2")]
 
 
 @settings(max_examples=60, deadline=None)
@@ -89,7 +146,7 @@ def test_maximal_repeats_have_all_occurrences(spark):
 def test_intervals_are_the_maximal_repeats(pieces):
     n = 3
     owner, place, groups = sd.repeats_in(pieces, n)
-    found = {(frozenset((int(owner[t]), int(place[t])) for t in range(a, b + 1)), length) for a, b, length in groups}
+    found = {(frozenset((int(owner[t]), int(place[t])) for t in range(a, b + 1)), int(length)) for a, b, length in zip(*groups)}
     at = collections.defaultdict(set)
     for o, p in enumerate(pieces):
         for i in range(len(p)):
