@@ -4,69 +4,97 @@ Each stage works on all that the stage before it kept; what it returns is
 written as Parquet and read again as the next stage's documents.
 
 1. quality_rules: documents that the rules reject go.
-2. near_duplicates: one document of each group stays that is linked by a Jaccard
-   similarity of 0.8 or more of five-word shingles.
+2. near_duplicates: one document of each group stays, whose texts are linked by
+   a similarity of 0.8 or more of five-word shingles; candidates come from
+   SimHash fingerprints, each link is checked exactly.
 3. repeated_passages: byte strings of 200 or more that start elsewhere too are
    cut out, at whole characters.
 4. mixing: documents are repeated or dropped until each source is near its
    target share.
 5. tokens: every text is encoded; the ids and their digests are returned.
+
+Defined results: null and empty texts fail the first stage, as do all of fewer
+than 20 words; texts of any length are read whole; repeated rows are one group
+of the second stage; rows without id are kept or dropped like others, last in
+their group; an empty table gives no tokens; further columns, whatever their
+names, are carried to the last stage.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import wraps
+from threading import get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, jaccard, mixing, quality_rules, suffix_dedup
+from quern.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
 from quern.llm.common import delete_folders, new_folder, release, table, watch_folders
 
 
-#: Folders that the stage before has made for itself.
-_scratch: list[str] = []
+@dataclass
+class Scratch:
+    """The folders that a stage has made for itself, and what it read."""
+
+    stage: int
+    inputs: frozenset[str]
+    folders: list[str] = field(default_factory=list)
+
 
+#: What stages have left, by thread and folder of the tables.
+_left: dict[tuple[int, str], list[Scratch]] = {}
 
-def stage(f):
-    """A stage that first deletes the tables which the one before has left.
 
-    The result of each stage is written before the next one is called, so by
-    then nothing reads them any more.
+def stage(number: int):
+    """A stage that first deletes the tables which the one before has left for itself.
+
+    Its predecessor's result has been written when this stage reads other
+    files than its predecessor did, as ``run`` and any caller that follows the
+    contract sees to; then nothing reads these tables any more. Stages that
+    read the same files, other tables or in other threads are left alone.
     """
 
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete_folders(spark, _scratch)
-        _scratch.clear()
-        release(spark)
-        with watch_folders(_scratch):
-            return f(spark, docs, sf_dir)
+    def decorate(f):
+        @wraps(f)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            own = Scratch(number, frozenset(docs.inputFiles()))
+            left = _left.setdefault((get_ident(), sf_dir), [])
+            done = [s for s in left if s.stage == number - 1 and own.inputs and s.inputs.isdisjoint(own.inputs)]
+            for s in done:
+                delete_folders(spark, s.folders)
+                left.remove(s)
+            release(spark)
+            left.append(own)
+            with watch_folders(own.folders):
+                return f(spark, docs, sf_dir)
+
+        return run_stage
 
-    return run_stage
+    return decorate
 
 
-@stage
+@stage(0)
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_clean(docs)
 
 
-@stage
+@stage(1)
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
-@stage
+@stage(2)
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs)
 
 
-@stage
+@stage(3)
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
-@stage
+@stage(4)
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(bpe.default_ranks())
     encoded = bpe.encode(docs, ranks)
@@ -95,4 +123,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(out)
         delete_folders(spark, before)
         before = [out]
+    for s in _left.pop((get_ident(), sf_dir), []):
+        delete_folders(spark, s.folders)
     return docs

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,40 +17,44 @@ WORD_CHAR = r"[^\x20\x09-\x0D]"
 
 #: A side of at most this many rows is broadcast after it has been counted.
 BROADCAST_ROWS = 20_000
+#: And of at most as many bytes by the planner's statistics.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A temporary folder is set only where the session names none, as in tests
-    on one machine.
+    Where the session names none, one is set only if all runs on one machine,
+    as in tests; on a cluster executors couldn't read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-#: Lists that take the folders made while they are open.
-_watching: list[list[str]] = []
+#: The lists that take the folders made in this context (thread or task), if any.
+_watching: ContextVar[tuple[list[str], ...]] = ContextVar("watching", default=())
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
-    for made in _watching:
+    for made in _watching.get():
         made.append(path)
     return path
 
 
 @contextmanager
 def watch_folders(made: list[str]):
-    """Append to ``made`` each folder that is made inside."""
-    _watching.append(made)
+    """Append to ``made`` each folder that is made inside, by this thread."""
+    token = _watching.set((*_watching.get(), made))
     try:
         yield made
     finally:
-        _watching.remove(made)
+        _watching.reset(token)
 
 
 def delete_folders(spark: SparkSession, paths) -> None:
@@ -81,12 +86,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when a count shows at most ``max_rows`` rows.
+def plan_bytes(df: DataFrame) -> int:
+    """The planner's size of ``df``; for a materialized table that of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only for at most ``max_rows`` counted rows and ``max_bytes`` bytes.
 
     ``df`` should be materialized. A larger side is left to a shuffled join.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    small = plan_bytes(df) <= max_bytes and df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
 
 
 def quoted(name: str) -> str:

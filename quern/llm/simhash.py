@@ -12,31 +12,45 @@ together from the root: each pair carries the number of bits in which its
 prefixes differ, and is dropped once that exceeds the budget. Small nodes are
 compared leaf by leaf. A bucket only passes on a spanning forest of its links.
 
-A bucket of over ``max_bucket`` fingerprints isn't walked in one task: its
-members are linked through the keys at ``max_bits / 2`` flipped bits or fewer.
-Two fingerprints share such a key exactly if they are linked (for an even
-budget), and each key has a bounded number of fingerprints around it, so the
-smallest one of each key is linked with the others by an aggregation.
+A bucket of over ``max_bucket`` fingerprints is cut into blocks by a hash, and
+each pair of blocks is a trie of its own with at most twice that many leaves;
+no link is lost, and any budget will do.
+
+``keep_one`` links by a similarity of texts, 0.8 or more of their distinct
+five-word shingles (Jaccard). Two such texts differ in about 15% of the bits of
+a fingerprint, far beyond a budget that single fingerprints can be joined by.
+So each text has several fingerprints with seeds of their own, which are cut
+into keys of a few bits. Texts with a key in common are walked in the trie of
+another of these fingerprints, under a wide error budget, then compared by all
+bits, and what remains is a candidate. Each link is checked exactly on the sets
+of shingles. Keys get longer, and more, with the number of texts, so that a
+pair at the threshold is missed with a probability of ``MISS`` at any size.
+
+Only a spanning forest of a bucket's candidates is checked first. Candidates
+between texts that are in different components after that are all checked: a
+large group of near copies costs no check per pair, and loses no link.
 
 Defined results: null and empty texts have fingerprint zero, linked like any
 other; texts of fewer words than a shingle hash the whole sequence; a row
 without id gets the component of its fingerprint; components without any id
-are null. Repeated rows share everything.
+are null. Repeated rows share everything. Texts may be of any length: shingles
+are hashed ``HASHES`` at a time. Empty tables give empty results, and other
+columns, whatever their names, are carried in a struct of their own.
 """
 
 from __future__ import annotations
 
 import re
 from itertools import combinations
-from math import comb
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, one_per_label, quoted, table
+from quern.llm.common import broadcast_if_small, discard, materialize, one_per_label, quoted, release, table, whole_row
 from quern.llm.components import connected_components
 
 SHINGLE = 4
@@ -49,6 +63,17 @@ FRONTIER = 1 << 20
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Hashes whose bits are counted at a time: bounds the memory of long texts.
 HASHES = 1 << 16
+#: Words of a shingle and the Jaccard similarity (as a fraction) of ``keep_one``.
+SET_SHINGLE = 5
+SIMILAR = (4, 5)
+#: The share of pairs at the threshold that have no key in common.
+MISS = 0.002
+#: Texts that share a key by chance, about.
+BUCKET_ROWS = 256
+#: Rows of small buckets that share a task's group, about.
+GROUP_ROWS = 500_000
+#: Standard deviations above the mean that an error budget allows.
+SLACK = 4.5
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -78,7 +103,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", carry=("doc_id",), sh
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in carry]).alias("carried"), fp(F.col(text)).alias("fp"))
+    return docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in carry]).alias("carried"), fp(F.col(quoted(text))).alias("fp"))
 
 
 def block_masks(n_distinct: int, max_bits: int = MAX_BITS) -> list[int]:
@@ -99,11 +124,11 @@ def _gather(values: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def trie_links(fps: np.ndarray, bucket: np.ndarray, free: list[int], max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(fps: np.ndarray, bucket: np.ndarray, free: list[int], max_bits: int = MAX_BITS, reduce=None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of linked rows: same bucket, at most max_bits differing bits.
 
     ``free`` are the bits that the bucket leaves open, walked from the top.
-    A node is a run of the sorted rows, and a pair of nodes carries its depth
+    ``reduce`` takes the pairs of a slab and gives those to keep. A node is a run of the sorted rows, and a pair of nodes carries its depth
     implicitly: all pairs of a frontier stand on the same level.
     """
     order = np.lexsort((_gather(fps, free), bucket))
@@ -126,8 +151,11 @@ def trie_links(fps: np.ndarray, bucket: np.ndarray, free: list[int], max_bits: i
             good = i < j
             i, j = i[good], j[good]
             good = np.bitwise_count(values[i] ^ values[j]) <= max_bits
-            found_a.append(order[i[good]])
-            found_b.append(order[j[good]])
+            i, j = order[i[good]], order[j[good]]
+            if reduce is not None and len(i):
+                i, j = reduce(i, j)
+            found_a.append(i)
+            found_b.append(j)
             at = stop
 
     def walk(level, a0, a1, b0, b1, errors):
@@ -194,7 +222,8 @@ def _bucket_links(max_bits: int, masks: list[int]):
         out = []
         for mask, rows in pdf.groupby("mask", sort=True):
             fps = rows["fp"].to_numpy(np.int64).view(np.uint64)
-            a, b = trie_links(fps, rows["key"].to_numpy(np.int64), free[int(mask)], max_bits)
+            bucket = rows.groupby(["key", "lo", "hi"]).ngroup().to_numpy()
+            a, b = trie_links(fps, bucket, free[int(mask)], max_bits)
             x, y = spanning_forest(len(fps), a, b)
             out.append(pd.DataFrame({"a": fps[x].view(np.int64), "b": fps[y].view(np.int64)}))
         return pd.concat(out)
@@ -202,18 +231,24 @@ def _bucket_links(max_bits: int, masks: list[int]):
     return links
 
 
-def ball_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links through the keys at up to max_bits / 2 flipped bits; needs an even budget.
+def dealt_to_tasks(rows: DataFrame, key: list[str], item: str, max_bucket: int):
+    """``rows`` grouped into tasks by bucket ``key``, with the numbers lo and hi of its blocks.
 
-    Every two fingerprints at one key differ in max_bits bits at most, so each
-    may be linked with the smallest one there.
+    Many small buckets share a group, so that numpy works on long arrays. Each
+    pair of blocks of a large one is a group of its own. Buckets of one row go.
     """
-    flips = [sum(1 << b for b in c) for k in range(max_bits // 2 + 1) for c in combinations(range(64), k)]
-    signed = [f - (1 << 64) if f >> 63 else f for f in flips]
-    every = F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")
-    around = fps.select("fp", F.explode(F.transform(every, lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
-    least = materialize(around.groupBy("key").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "balls")
-    return around.join(least, "key").where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
+    spark = rows.sparkSession
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialize(sizes.select(*[F.col(k).alias(f"__{k}") for k in key], "n", F.ceil(F.col("n") / max_bucket).cast("int").alias("blocks")), "buckets")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // GROUP_ROWS)
+    same = [F.col(k) == F.col(f"__{k}") for k in key]
+    shared = rows.join(sizes, same).drop(*[f"__{k}" for k in key], "n")
+    shared = shared.withColumn("blk", F.pmod(F.xxhash64(item, F.lit(7)), F.col("blocks")).cast("int"))
+    shared = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shared = shared.withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")})
+    part = F.when(F.col("blocks") > 1, F.xxhash64(*key, "lo", "hi")).otherwise(F.pmod(F.xxhash64(*key), F.lit(parts)))
+    return shared.withColumn("part", part).drop("blk", "other", "blocks").groupBy("part")
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -225,26 +260,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, max_bucket: int
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     dealt = fps.select("fp", F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("mask", "bits"))
     dealt = dealt.select("fp", F.col("mask").cast("int").alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("key"))
-    sizes = dealt.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n"))
-    large = materialize(sizes.where(F.col("n") > max_bucket).drop("n"), "large")
-    schema = "a long, b long"
-    if max_bits % 2 or large.isEmpty():
-        walked = dealt
-        rest = None
-    else:
-        hot = dealt.join(large.withColumn("hot", F.lit(True)), ["mask", "key"], "left")
-        walked = hot.where("hot IS NULL").drop("hot")
-        rest = ball_links(materialize(hot.where("hot").select("fp").distinct(), "hot"), max_bits)
-    # Many small buckets share a task's group, so that numpy works on long arrays.
-    grouped = walked.withColumn("part", F.pmod(F.xxhash64("mask", "key"), F.lit(_parts(fps)))).groupBy("part")
-    links = grouped.applyInPandas(_bucket_links(max_bits, masks), schema)
-    return links if rest is None else links.unionByName(rest)
-
-
-def _parts(fps: DataFrame) -> int:
-    """Groups of about half a million rows; the count of fps was taken before."""
-    n = fps.count()
-    return max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * comb(6, 2) // 500_000)
+    return dealt_to_tasks(dealt, ["mask", "key"], "fp", max_bucket).applyInPandas(_bucket_links(max_bits, masks), "a long, b long")
 
 
 def component_of_fingerprints(pairs: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -253,30 +269,196 @@ def component_of_fingerprints(pairs: DataFrame, max_bits: int = MAX_BITS, max_bu
     links = materialize(fingerprint_links(known.select("fp"), max_bits, max_bucket).distinct(), "links")
     labels = connected_components(links)
     joined = known.join(labels, known["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("label"))
-    least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
-    return materialize(joined.join(least, "label").select("fp", "label", "component_id"), "classes")
+    joined = materialize(joined, "labelled")
+    least = materialize(joined.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
+    classes = materialize(joined.join(broadcast_if_small(least), "label").select("fp", "label", "component_id"), "classes")
+    discard(known, links, labels, joined, least)
+    return classes
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, shingle: int = SHINGLE, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row."""
-    pairs = with_fingerprints(docs, text, [doc_id], shingle).select(F.col(f"carried.{doc_id}").alias("doc_id"), "fp")
+    pairs = with_fingerprints(docs, text, [doc_id], shingle).select(F.col("carried").getField(doc_id).alias("doc_id"), "fp")
     pairs = materialize(pairs, "simhash")
     classes = component_of_fingerprints(pairs, max_bits, max_bucket).withColumnRenamed("fp", "__fp")
     out = pairs.join(classes, F.col("fp") == F.col("__fp"), "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
-    """One document of each group, that with the smallest id, with all columns.
+def shingle_hashes(text: str | None, shingle: int = SET_SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text as sorted hashes."""
+    words = WORDS.findall((text or "").encode().lower())
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(len(words) - shingle + 1, 1)
+    one = xxhash.xxh64_intdigest
+    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
+    return np.unique(np.fromiter((one(joined[a:b], 42) for a, b in spans), np.uint64, n))
+
+
+class Sketch:
+    """How sets are fingerprinted: fingerprints, keys of them and error budgets.
+
+    ``words`` fingerprints of 64 bits are cut into ``tables`` keys of ``bits``
+    bits. ``word_budget`` and ``budget`` are the bits in which one and all
+    fingerprints of two similar sets may differ.
+    """
+
+    def __init__(self, rows: int, similar=SIMILAR, miss: float = MISS):
+        share = similar[0] / similar[1]
+        # The cosine of two equally large sets of that similarity, and the share of differing bits.
+        differ = acos(2 * share / (1 + share)) / pi
+        self.bits = max(10, ceil(log2(max(rows, 1) / BUCKET_ROWS))) if rows else 10
+        self.tables = ceil(log(miss) / log(1 - (1 - differ) ** self.bits))
+        self.per_word = 64 // self.bits
+        self.words = max(ceil(self.tables / self.per_word), 2)
+        self.word_budget, self.budget = (ceil(n * differ + SLACK * sqrt(n * differ * (1 - differ))) for n in (64, 64 * self.words))
+        rng = np.random.default_rng(42)
+        self.flips, self.factors = (rng.integers(0, 1 << 63, self.words, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+    def fingerprints(self, hashes: np.ndarray) -> list[int]:
+        """One signed fingerprint per seed; bits that half of the hashes have set follow the first hash."""
+        n = len(hashes)
+        if not n:
+            return [0] * self.words
+        counts = np.zeros(64 * self.words, np.int64)
+        for k in range(0, n, 1 << 12):
+            v = (hashes[k : k + (1 << 12), None] ^ self.flips) * self.factors
+            v ^= v >> np.uint64(32)
+            v *= self.factors
+            v ^= v >> np.uint64(29)
+            bits = np.unpackbits(v.view(np.uint8).reshape(len(v), -1), axis=1)
+            counts += bits.sum(axis=0, dtype=np.uint16)
+            if k == 0:
+                tie = bits[0]
+        return np.packbits((2 * counts > n) | ((2 * counts == n) & (tie == 1))).view(np.int64).tolist()
+
+    def key(self, t: int) -> Column:
+        word, slot = divmod(t, self.per_word)
+        return F.shiftrightunsigned(f"w{word}", slot * self.bits).bitwiseAND(F.lit((1 << self.bits) - 1))
+
+
+def set_id(hashes: np.ndarray) -> int:
+    """A signed 64-bit name of a set."""
+    return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes(), 42)], np.uint64).view(np.int64)[0])
+
+
+def _sketches(sketch: Sketch, shingle: int):
+    @F.pandas_udf("sid long, empty boolean, fps array<long>")
+    def sketches(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_hashes(t, shingle) for t in texts]
+        return pd.DataFrame({"sid": np.array([set_id(h) for h in sets], np.int64), "empty": [not len(h) for h in sets], "fps": [sketch.fingerprints(h) for h in sets]})
+
+    return sketches
+
+
+def _hash_sets(shingle: int):
+    @F.pandas_udf("array<long>")
+    def hash_sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, shingle).view(np.int64) for t in texts])
+
+    return hash_sets
+
+
+def _candidates(sketch: Sketch, forest: bool):
+    """Candidate pairs of sets in one bucket: a spanning forest, or all between different components."""
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for word, rows in pdf.groupby("word", sort=True):
+            fps = rows[[f"w{k}" for k in range(sketch.words)]].to_numpy(np.int64).view(np.uint64)
+            sid, label = rows["sid"].to_numpy(), rows["label"].to_numpy()
+            bucket = rows.groupby(["t", "key", "lo", "hi"]).ngroup().to_numpy()
+
+            def near(i, j):
+                if not forest:
+                    apart = label[i] != label[j]
+                    i, j = i[apart], j[apart]
+                good = sum(np.bitwise_count(fps[i, k] ^ fps[j, k]).astype(np.int64) for k in range(sketch.words)) <= sketch.budget
+                i, j = i[good], j[good]
+                return spanning_forest(len(sid), i, j) if forest else (i, j)
+
+            i, j = trie_links(fps[:, int(word)].copy(), bucket, list(range(63, -1, -1)), sketch.word_budget, near)
+            if forest:
+                i, j = spanning_forest(len(sid), i, j)
+            out.append(pd.DataFrame({"a": np.maximum(sid[i], sid[j]), "b": np.minimum(sid[i], sid[j])}).drop_duplicates())
+        return pd.concat(out)
+
+    return links
+
+
+def candidate_pairs(sketched: DataFrame, sketch: Sketch, forest: bool, max_bucket: int) -> DataFrame:
+    """Pairs (a, b) of sets with a key in common that all fingerprints call similar; materialized.
+
+    ``sketched``: sid, w0, w1, ... and label (a component; only between
+    different ones pairs are given unless ``forest``).
+    """
+    words = [f"w{k}" for k in range(sketch.words)]
+    keyed = sketched.select("sid", "label", *words, F.posexplode(F.array(*[sketch.key(t) for t in range(sketch.tables)])).alias("t", "key"))
+    # The trie is that of a fingerprint which the key isn't part of.
+    keyed = keyed.withColumn("word", F.pmod(F.floor(F.col("t") / sketch.per_word) + 1, F.lit(sketch.words)).cast("int"))
+    groups = dealt_to_tasks(keyed, ["t", "key"], "sid", max_bucket)
+    return materialize(groups.applyInPandas(_candidates(sketch, forest), "a long, b long").distinct(), "candidates")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    one, two = similar
+    left = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha"))
+    right = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb"))
+    both = pairs.join(left, "a").join(right, "b")
+    # Sizes that can't be similar are never intersected.
+    both = both.where(two * F.least(F.size("ha"), F.size("hb")) >= one * F.greatest(F.size("ha"), F.size("hb")))
+    both = both.withColumn("n", F.size(F.array_intersect("ha", "hb")))
+    return both.where(two * F.col("n") >= one * (F.size("ha") + F.size("hb") - F.col("n"))).select("a", "b")
+
+
+def set_links(rows: DataFrame, sketch: Sketch, shingle: int = SET_SHINGLE, similar=SIMILAR, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """Links (a, b) that connect the similar sets of rows (rid, sid, empty, fps, text); materialized.
+
+    ``rows``: materialized.
+    """
+    words = [F.get("fps", F.lit(k)).alias(f"w{k}") for k in range(sketch.words)]
+    named = materialize(rows.where(~F.col("empty")).groupBy("sid").agg(F.min("rid").alias("rid"), F.first("fps").alias("fps")), "sets")
+    sketched = named.select("sid", *words)
+    pairs = candidate_pairs(sketched.withColumn("label", F.col("sid")), sketch, True, max_bucket)
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "asked")
+    # Copies of one set share its name; any of their texts has the same shingles.
+    firsts = materialize(named.select("sid", "rid").join(asked, "sid", "left_semi"), "firsts")
+    texts = rows.select("rid", "text").join(firsts, "rid").select("sid", "text")
+    sets = materialize(texts.select("sid", _hash_sets(shingle)("text").alias("hashes")), "hashes")
+    links = materialize(_checked(pairs, sets, similar), "links")
+    labels = connected_components(links)
+    # Only sets with a candidate can have more of them.
+    again = sketched.join(asked, "sid", "left_semi").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    again = materialize(again.select("*", F.coalesce("component", "sid").alias("label")).drop("component"), "again")
+    more = candidate_pairs(again, sketch, False, max_bucket)
+    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    out = materialize(links.unionByName(_checked(more, sets, similar)), "links")
+    discard(named, pairs, asked, firsts, sets, links, labels, again, more)
+    release(rows.sparkSession)
+    return out
 
-    Rows without id come last; among equal ids a hash of the row decides.
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SET_SHINGLE, similar=SIMILAR, miss: float = MISS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """One document of each group of similar texts, that with the smallest id, with all columns.
+
+    Rows without id come last; among equal ids a hash of the row decides. Null
+    and empty texts have the empty set and are one group.
     """
-    rows = materialize(with_fingerprints(docs, text, docs.columns).withColumn("rid", F.monotonically_increasing_id()), "simhash")
-    named = rows.select("rid", "fp", F.col("carried").getField(doc_id).alias("id"), F.xxhash64("carried").alias("hash"))
-    classes = component_of_fingerprints(named.select(F.col("id").alias("doc_id"), "fp"), **params)
-    # Equal fingerprints are combined before the join, so that no large group of them meets in one task.
-    firsts = materialize(one_per_label(named, "fp"), "firsts")
-    kept = one_per_label(firsts.join(classes, "fp").select("label", "id", "hash", "rid"), "label")
+    sketch = Sketch(docs.count(), similar, miss)
+    found = docs.select(whole_row(docs).alias("carried"), _sketches(sketch, shingle)(F.col(quoted(text))).alias("s"), F.monotonically_increasing_id().alias("rid"))
+    rows = materialize(found.select("rid", "carried", "s.sid", "s.empty", "s.fps"), "shingles")
+    links = set_links(rows.select("rid", "sid", "empty", "fps", F.col("carried").getField(text).alias("text")), sketch, shingle, similar, max_bucket)
+    labels = connected_components(links)
+    named = rows.select("rid", "sid", F.col("carried").getField(doc_id).alias("id"), F.xxhash64("carried").alias("hash"))
+    # Copies are combined before the join, so that no large group of them meets in one task.
+    sets = materialize(one_per_label(named, "sid"), "sets")
+    joined = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    kept = one_per_label(joined.select(F.coalesce("component", "sid").alias("label"), "id", "hash", "rid"), "label")
     return rows.join(materialize(kept.select("rid"), "kept"), "rid", "left_semi").select("carried.*")
 
 

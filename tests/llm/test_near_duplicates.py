@@ -1,4 +1,4 @@
-"""Links by the Jaccard similarity of shingles against brute force."""
+"""Near duplicates by the similarity of shingles against brute force."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from quern.llm import jaccard
+from quern.llm import simhash
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -55,7 +55,7 @@ def test_keeps_what_brute_force_keeps(spark):
     rng.shuffle(rows)
     rows = list(enumerate(rows))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(r["doc_id"] for r in jaccard.keep_one(df).collect()) == kept_of(rows)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == kept_of(rows)
 
 
 def test_pipeline_stage_links_at_a_similarity_of_0_8(spark):
@@ -65,18 +65,29 @@ def test_pipeline_stage_links_at_a_similarity_of_0_8(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER).collect()) == kept_of(rows)
 
 
-def test_sets_that_only_miss_the_smallest_of_their_key_are_linked(spark):
-    # One key for all sets: the pairs are those of brute force, whichever set is the smallest.
+@pytest.mark.parametrize("max_bucket", [1 << 15, 4])
+def test_a_group_that_is_only_linked_in_steps(spark, max_bucket):
     rng = random.Random(2)
-    rows = list(enumerate(t for _ in range(6) for t in chain(rng, 60, 4)))
-    found = [(i, i, jaccard.set_id(jaccard.shingle_hashes(t)), [7], t) for i, t in rows]
-    table = spark.createDataFrame(found, "doc_id long, rid long, sid long, keys array<long>, text string")
-    links = {(r["a"], r["b"]) for r in jaccard.set_links(table).collect()}
-    own = {s: s for _, _, s, _, _ in found}
-    for _ in own:
-        for a, b in links:
-            own[a] = own[b] = min(own[a], own[b])
-    assert len(set(own.values())) == len(set(groups([t for _, t in rows])))
+    rows = list(enumerate(t for _ in range(4) for t in chain(rng, 80, 12)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df, max_bucket=max_bucket).collect()) == kept_of(rows)
+
+
+def test_pairs_at_the_threshold_are_found():
+    # Sets of 45 shingles of which 40 are shared: exactly 0.8.
+    rng = random.Random(6)
+    for rows in (1_000, 10_000_000, 10_000_000_000):
+        sketch, missed, n = simhash.Sketch(rows), 0, 400
+        for _ in range(n):
+            hashes = [rng.getrandbits(64) for _ in range(50)]
+            a, b = (simhash.np.array(sorted(x), simhash.np.uint64) for x in (hashes[:45], hashes[5:]))
+            fa, fb = ([v % (1 << 64) for v in sketch.fingerprints(x)] for x in (a, b))
+            keys = ([f[t // sketch.per_word] >> (t % sketch.per_word * sketch.bits) & ((1 << sketch.bits) - 1) for t in range(sketch.tables)] for f in (fa, fb))
+            near = sum((x ^ y).bit_count() for x, y in zip(fa, fb)) <= sketch.budget
+            shared = [t for t, (x, y) in enumerate(zip(*keys)) if x == y]
+            words = {(t // sketch.per_word + 1) % sketch.words for t in shared}
+            missed += not (near and any((fa[w] ^ fb[w]).bit_count() <= sketch.word_budget for w in words))
+        assert missed <= 0.01 * n
 
 
 def test_repeated_and_missing_ids(spark):
@@ -84,9 +95,9 @@ def test_repeated_and_missing_ids(spark):
     a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3))
     rows = [(1, a), (2, a), (1, b), (1, b), (None, b), (None, c), (None, c), (9, None), (8, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, jaccard.keep_one(df).collect()), key=repr) == sorted([(1, a), (1, b), (None, c), (8, "")], key=repr)
+    assert sorted(map(tuple, simhash.keep_one(df).collect()), key=repr) == sorted([(1, a), (1, b), (None, c), (8, "")], key=repr)
 
 
 def test_odd_and_no_rows(odd, none):
-    assert jaccard.keep_one(odd).columns == odd.columns
-    assert jaccard.keep_one(none).collect() == []
+    assert simhash.keep_one(odd).columns == odd.columns
+    assert simhash.keep_one(none).collect() == []

@@ -29,7 +29,7 @@ def test_each_stage_follows_its_operator(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rules = {r["doc_id"] for r in quality_rules.assess(docs).where("kept").collect()}
     assert {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, docs, FOLDER).collect()} == rules
-    near = {r["doc_id"] for r in simhash.near_duplicates(docs).where("doc_id = component_id").collect()}
+    near = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER).collect()} == near
     removed = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.removal_digests(suffix_dedup.with_spans(docs)).collect()}
     lens = {r["doc_id"]: len(r["text"].encode()) for r in docs.collect()}
