@@ -17,7 +17,7 @@ WORD_CHAR = r"[^\x20\x09-\x0D]"
 
 #: A side of at most this many rows is broadcast after it has been counted.
 BROADCAST_ROWS = 20_000
-#: And of at most as many bytes by the planner's statistics.
+#: And of at most as many bytes, written as JSON.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -86,18 +86,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The planner's size of ``df``; for a materialized table that of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only for at most ``max_rows`` counted rows and ``max_bytes`` bytes.
+    """Hint a broadcast only for at most ``max_rows`` rows and ``max_bytes`` bytes, both counted.
 
     ``df`` should be materialized. A larger side is left to a shuffled join.
     """
-    small = plan_bytes(df) <= max_bytes and df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    width = F.octet_length(F.to_json(F.struct(*[F.col(quoted(c)) for c in df.columns])))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def quoted(name: str) -> str:
