@@ -25,10 +25,10 @@ All removed bytes come from intervals of the array. For them a context's first
 suffix passes for one that can't be extended to the left, as what stands before
 it belongs to another context; ``maximal_repeats`` looks at the real bytes.
 
-An anchor of over ``max_group`` different contexts is split by a longer prefix:
-each of its windows is a context of its own, dealt by its whole bytes. Equal
-ones are one with a count, so no group is left that grows with the data. The
-result doesn't depend on ``max_group``.
+An anchor of over ``max_group`` different contexts is split by more bytes around
+it, again and again if need be; at the end stand whole windows. Equal parts are
+one with a count, so no group is left that grows with the data. The result
+doesn't depend on ``max_group``.
 
 Defined results: documents shorter than ``min_len`` keep everything; repeated
 rows lose every string they have in common; ids may have any type and be null:
@@ -360,6 +360,55 @@ def _bytes(raw, start, length):
     return F.call_function("substring", raw, start + 1, length)
 
 
+def _anchor_offset(gram: int):
+    """The place of the anchor in a context: the first gram of its hash."""
+
+    @F.pandas_udf("int")
+    def offset(pieces: pd.Series, fps: pd.Series) -> pd.Series:
+        return pd.Series([int(np.argmax(gram_hashes(np.frombuffer(p, np.uint8), gram).view(np.int64) == fp)) for p, fp in zip(pieces, fps)])
+
+    return offset
+
+
+def split_contexts(hot: DataFrame, min_len: int, gram: int, max_group: int) -> DataFrame:
+    """Parts of the contexts (fp, ctx, n, piece) of hot anchors, in groups of at most ``max_group``; materialized.
+
+    The anchor stands at one of ``min_len - gram + 1`` offsets of a window. A
+    context is halved into the windows of smaller and of larger offsets. All
+    windows of a half share more bytes than the anchor, which make its ``key``;
+    equal windows stay together. Halves of a key with over ``max_group``
+    different ones are halved again; at last a half is one window and all
+    halves of its key are equal. Halves of a key that occurs once end here.
+
+    Returns fp, ctx, n, key, sub (a hash of the part), piece and at (its place in the context).
+    """
+    size = F.octet_length("piece") - min_len
+    rows = hot.select("fp", "ctx", "n", F.lit(0).alias("at"), "piece", _anchor_offset(gram)("piece", "fp").alias("a"), F.lit(0).alias("lo"), F.lit(min_len - gram).alias("hi"))
+    ready = []
+    while True:
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = rows.withColumn("half", F.explode(F.array(F.struct(F.col("lo").alias("x"), mid.alias("y")), F.struct((mid + 1).alias("x"), F.col("hi").alias("y")))))
+        # The windows of the context that are of this half: offsets first to last.
+        halves = halves.withColumns({"lo": F.col("half.x"), "hi": F.col("half.y"), "first": F.greatest("half.x", F.col("a") - size), "last": F.least("half.y", "a")}).where("first <= last")
+        halves = halves.select("fp", "ctx", "n", (F.col("at") + F.col("a") - F.col("last")).alias("at"), _bytes(F.col("piece"), F.col("a") - F.col("last"), F.col("last") - F.col("first") + min_len).alias("piece"), F.col("last").alias("a"), "lo", "hi")
+        shared = _bytes(F.col("piece"), F.col("a") - F.col("lo"), min_len - F.col("hi") + F.col("lo"))
+        halves = materialize(halves.select("*", F.xxhash64("fp", "lo", "hi", shared).alias("key"), F.xxhash64("piece").alias("sub")), "halves")
+        parts = halves.groupBy("key", "sub").agg(F.sum("n").alias("n"))
+        sizes = materialize(parts.groupBy(F.col("key").alias("__key")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")).where("total > 1").drop("total"), "sizes")
+        placed = halves.join(sizes, F.col("key") == F.col("__key")).drop("__key")
+        ready.append(materialize(placed.where(F.col("m") <= max_group).select("fp", "ctx", "n", "key", "sub", "piece", "at"), "ready"))
+        rows = materialize(placed.where(F.col("m") > max_group).select(rows.columns), "hot")
+        discard(halves, sizes)
+        if rows.isEmpty():
+            break
+    out = ready[0]
+    for more in ready[1:]:
+        out = out.unionByName(more)
+    out = materialize(out, "halved")
+    discard(*ready)
+    return out
+
+
 def covered_spans(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, max_group: int = MAX_GROUP, chunk: int = CHUNK) -> DataFrame:
     """id, th and spans (start, stop, start, ...; unmerged) of rows (id, th, text) with repeats; materialized."""
     spark = docs.sparkSession
@@ -377,17 +426,13 @@ def covered_spans(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, max
     spans = grouped(cold, "fp").applyInPandas(_covered(min_len), SPANS)
     made = [places, hot, pieces]
     if not hot.isEmpty():
-        at = F.sequence(F.lit(0), F.octet_length("piece") - min_len)
-        windows = pieces.where("__fp IS NOT NULL").select("fp", "ctx", "n", "piece", F.explode(at).alias("at"))
-        windows = windows.select("fp", "ctx", "n", "at", _bytes(F.col("piece"), F.col("at"), F.lit(min_len)).alias("w"))
-        windows = windows.select("*", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(SEED), "w").alias("g"))
-        single = windows.groupBy("h", "g").agg(F.sum("n").alias("n"), F.first("w").alias("piece")).where("n > 1")
-        single = materialize(single.select(F.col("h").alias("fp"), F.col("g").alias("ctx"), "n", "piece"), "windows")
-        found = grouped(single, "fp").applyInPandas(_covered(min_len), SPANS)
-        found = materialize(found.select(F.col("fp").alias("__h"), F.col("ctx").alias("__g")), "hot-spans")
-        hit = windows.drop("w").join(found, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g")), "left_semi")
-        spans = spans.unionByName(hit.select("fp", "ctx", F.col("at").alias("start"), (F.col("at") + min_len).alias("stop")))
-        made += [single, found]
+        parts = split_contexts(pieces.where("__fp IS NOT NULL").drop("__fp"), min_len, gram, max_group)
+        single = materialize(parts.groupBy("key", "sub").agg(F.sum("n").alias("n"), F.first("piece").alias("piece")), "parts")
+        found = grouped(single.withColumnsRenamed({"key": "fp", "sub": "ctx"}), "fp").applyInPandas(_covered(min_len), SPANS)
+        found = materialize(found.select(F.col("fp").alias("__key"), F.col("ctx").alias("__sub"), "start", "stop"), "hot-spans")
+        hit = parts.select("fp", "ctx", "key", "sub", "at").join(found, (F.col("key") == F.col("__key")) & (F.col("sub") == F.col("__sub")))
+        spans = spans.unionByName(hit.select("fp", "ctx", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop")).alias("stop")))
+        made += [parts, single, found]
     spans = materialize(spans.select(F.col("fp").alias("__fp"), F.col("ctx").alias("__ctx"), F.col("start").alias("__start"), "stop"), "spans")
     release(spark)
     hit = places.select("fp", "ctx", "id", "th", "start").join(spans, (F.col("fp") == F.col("__fp")) & (F.col("ctx") == F.col("__ctx")))
