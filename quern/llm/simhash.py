@@ -26,9 +26,11 @@ bits, and what remains is a candidate. Each link is checked exactly on the sets
 of shingles. Keys get longer, and more, with the number of texts, so that a
 pair at the threshold is missed with a probability of ``MISS`` at any size.
 
-Only a spanning forest of a bucket's candidates is checked first. Candidates
-between texts that are in different components after that are all checked: a
-large group of near copies costs no check per pair, and loses no link.
+Only a forest of a bucket's closest candidates is checked first. Then all
+candidates between texts that are still in different components are checked,
+but for those that can't be similar: a set of which over a fifth is found in no
+other one has no link, and two sets share at most what each shares with any.
+A large group of near copies costs no check per pair, and loses no link.
 
 Defined results: null and empty texts have fingerprint zero, linked like any
 other; texts of fewer words than a shingle hash the whole sequence; a row
@@ -72,6 +74,8 @@ MISS = 0.002
 BUCKET_ROWS = 256
 #: Rows of small buckets that share a task's group, about.
 GROUP_ROWS = 500_000
+#: Classes by which shingles are counted: a power of two.
+CLASSES = 32
 #: Standard deviations above the mean that an error budget allows.
 SLACK = 4.5
 
@@ -215,6 +219,27 @@ def spanning_forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return moved, label[moved]
 
 
+def minimum_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The places of the pairs that make a spanning forest of least weight, earlier ones first among equals."""
+    order = np.argsort(weight, kind="stable")
+    a, b = a[order], b[order]
+    label, left, kept = np.arange(n), np.arange(len(a)), [np.empty(0, np.int64)]
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        left, x, y = left[x != y], x[x != y], y[x != y]
+        if not len(left):
+            return order[np.concatenate(kept)]
+        best = np.full(n, len(a))
+        np.minimum.at(best, x, left)
+        np.minimum.at(best, y, left)
+        pick = np.unique(best[best < len(a)])
+        kept.append(pick)
+        moved, to = spanning_forest(n, label[a[pick]], label[b[pick]])
+        joined = np.arange(n)
+        joined[moved] = to
+        label = joined[label]
+
+
 def _bucket_links(max_bits: int, masks: list[int]):
     free = {k: [b for b in range(63, -1, -1) if not m >> b & 1] for k, m in enumerate(masks)}
 
@@ -347,10 +372,10 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def _sketches(sketch: Sketch, shingle: int):
-    @F.pandas_udf("sid long, empty boolean, fps array<long>")
+    @F.pandas_udf("sid long, size int, fps array<long>")
     def sketches(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_hashes(t, shingle) for t in texts]
-        return pd.DataFrame({"sid": np.array([set_id(h) for h in sets], np.int64), "empty": [not len(h) for h in sets], "fps": [sketch.fingerprints(h) for h in sets]})
+        return pd.DataFrame({"sid": np.array([set_id(h) for h in sets], np.int64), "size": np.array([len(h) for h in sets], np.int32), "fps": [sketch.fingerprints(h) for h in sets]})
 
     return sketches
 
@@ -363,45 +388,57 @@ def _hash_sets(shingle: int):
     return hash_sets
 
 
-def _candidates(sketch: Sketch, forest: bool):
-    """Candidate pairs of sets in one bucket: a spanning forest, or all between different components."""
+def _candidates(sketch: Sketch, forest: bool, similar):
+    """Candidate pairs of sets in one bucket: a forest of the closest ones, or all between different components."""
+    one, two = similar
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for word, rows in pdf.groupby("word", sort=True):
             fps = rows[[f"w{k}" for k in range(sketch.words)]].to_numpy(np.int64).view(np.uint64)
-            sid, label = rows["sid"].to_numpy(), rows["label"].to_numpy()
+            sid, label, size = (rows[c].to_numpy() for c in ("sid", "label", "size"))
+            shared = np.stack(rows["shared"].to_numpy())
             bucket = rows.groupby(["t", "key", "lo", "hi"]).ngroup().to_numpy()
+            closest = [np.empty(0, np.int64)] * 3
 
             def near(i, j):
+                i, j = (x[label[i] != label[j]] for x in (i, j))
+                differ = sum(np.bitwise_count(fps[i, k] ^ fps[j, k]).astype(np.int64) for k in range(sketch.words))
+                i, j, differ = (x[differ <= sketch.budget] for x in (i, j, differ))
+                most = np.zeros(len(i), np.int64)
+                for c in shared.T:
+                    most += np.minimum(c[i], c[j])
+                good = two * most >= one * (size[i] + size[j] - most)
                 if not forest:
-                    apart = label[i] != label[j]
-                    i, j = i[apart], j[apart]
-                good = sum(np.bitwise_count(fps[i, k] ^ fps[j, k]).astype(np.int64) for k in range(sketch.words)) <= sketch.budget
-                i, j = i[good], j[good]
-                return spanning_forest(len(sid), i, j) if forest else (i, j)
+                    return i[good], j[good]
+                both = [np.concatenate(c) for c in zip(closest, (i[good], j[good], differ[good]))]
+                keep = minimum_forest(len(sid), *both)
+                closest[:] = [c[keep] for c in both]
+                return closest[0][:0], closest[0][:0]
 
             i, j = trie_links(fps[:, int(word)].copy(), bucket, list(range(63, -1, -1)), sketch.word_budget, near)
             if forest:
-                i, j = spanning_forest(len(sid), i, j)
+                i, j = closest[:2]
             out.append(pd.DataFrame({"a": np.maximum(sid[i], sid[j]), "b": np.minimum(sid[i], sid[j])}).drop_duplicates())
         return pd.concat(out)
 
     return links
 
 
-def candidate_pairs(sketched: DataFrame, sketch: Sketch, forest: bool, max_bucket: int) -> DataFrame:
+def candidate_pairs(sketched: DataFrame, sketch: Sketch, forest: bool, max_bucket: int, similar=SIMILAR) -> DataFrame:
     """Pairs (a, b) of sets with a key in common that all fingerprints call similar; materialized.
 
-    ``sketched``: sid, w0, w1, ... and label (a component; only between
-    different ones pairs are given unless ``forest``).
+    ``sketched``: sid, w0, w1, ..., label (a component; pairs are between
+    different ones), size (of the set) and shared (an array, by classes of
+    shingles: how many of the set's another one may have. The sum of the lesser
+    counts bounds what two sets have in common).
     """
     words = [f"w{k}" for k in range(sketch.words)]
-    keyed = sketched.select("sid", "label", *words, F.posexplode(F.array(*[sketch.key(t) for t in range(sketch.tables)])).alias("t", "key"))
+    keyed = sketched.select("sid", "label", "size", "shared", *words, F.posexplode(F.array(*[sketch.key(t) for t in range(sketch.tables)])).alias("t", "key"))
     # The trie is that of a fingerprint which the key isn't part of.
     keyed = keyed.withColumn("word", F.pmod(F.floor(F.col("t") / sketch.per_word) + 1, F.lit(sketch.words)).cast("int"))
     groups = dealt_to_tasks(keyed, ["t", "key"], "sid", max_bucket)
-    return materialize(groups.applyInPandas(_candidates(sketch, forest), "a long, b long").distinct(), "candidates")
+    return materialize(groups.applyInPandas(_candidates(sketch, forest, similar), "a long, b long").distinct(), "candidates")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
@@ -416,15 +453,32 @@ def _checked(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
     return both.where(two * F.col("n") >= one * (F.size("ha") + F.size("hb") - F.col("n"))).select("a", "b")
 
 
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """sid and shared: how many hashes of each set (sid, hashes) some other one has, by class."""
+
+    @F.pandas_udf("array<int>")
+    def counts(hashes: pd.Series, alone: pd.Series) -> pd.Series:
+        def of(x):
+            return np.bincount(np.asarray(x, np.int64) & (CLASSES - 1), minlength=CLASSES)
+
+        return pd.Series([(of(h) - (0 if a is None else of(a))).astype(np.int32) for h, a in zip(hashes, alone)])
+
+    own = sets.select("sid", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("sid"))
+    # No more than the set holds.
+    alone = own.where("n = 1").groupBy("sid").agg(F.collect_list("h").alias("alone"))
+    return sets.join(alone, "sid", "left").select("sid", counts("hashes", "alone").alias("shared"))
+
+
 def set_links(rows: DataFrame, sketch: Sketch, shingle: int = SET_SHINGLE, similar=SIMILAR, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Links (a, b) that connect the similar sets of rows (rid, sid, empty, fps, text); materialized.
+    """Links (a, b) that connect the similar sets of rows (rid, sid, size, fps, text); materialized.
 
     ``rows``: materialized.
     """
+    one, two = similar
     words = [F.get("fps", F.lit(k)).alias(f"w{k}") for k in range(sketch.words)]
-    named = materialize(rows.where(~F.col("empty")).groupBy("sid").agg(F.min("rid").alias("rid"), F.first("fps").alias("fps")), "sets")
-    sketched = named.select("sid", *words)
-    pairs = candidate_pairs(sketched.withColumn("label", F.col("sid")), sketch, True, max_bucket)
+    named = materialize(rows.where("size > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.first("size").alias("size"), F.first("fps").alias("fps")), "sets")
+    sketched = named.select("sid", "size", *words)
+    pairs = candidate_pairs(sketched.withColumns({"label": F.col("sid"), "shared": F.array("size")}), sketch, True, max_bucket, similar)
     asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "asked")
     # Copies of one set share its name; any of their texts has the same shingles.
     firsts = materialize(named.select("sid", "rid").join(asked, "sid", "left_semi"), "firsts")
@@ -432,10 +486,12 @@ def set_links(rows: DataFrame, sketch: Sketch, shingle: int = SET_SHINGLE, simil
     sets = materialize(texts.select("sid", _hash_sets(shingle)("text").alias("hashes")), "hashes")
     links = materialize(_checked(pairs, sets, similar), "links")
     labels = connected_components(links)
-    # Only sets with a candidate can have more of them.
-    again = sketched.join(asked, "sid", "left_semi").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    # Only sets with a candidate can have more of them, and only if enough of their shingles are found in another one.
+    again = sketched.join(shared_counts(sets), "sid")
+    again = again.where(two * F.aggregate("shared", F.lit(0), lambda x, y: x + y) >= one * F.col("size"))
+    again = again.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     again = materialize(again.select("*", F.coalesce("component", "sid").alias("label")).drop("component"), "again")
-    more = candidate_pairs(again, sketch, False, max_bucket)
+    more = candidate_pairs(again, sketch, False, max_bucket, similar)
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
     out = materialize(links.unionByName(_checked(more, sets, similar)), "links")
     discard(named, pairs, asked, firsts, sets, links, labels, again, more)
@@ -451,8 +507,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     """
     sketch = Sketch(docs.count(), similar, miss)
     found = docs.select(whole_row(docs).alias("carried"), _sketches(sketch, shingle)(F.col(quoted(text))).alias("s"), F.monotonically_increasing_id().alias("rid"))
-    rows = materialize(found.select("rid", "carried", "s.sid", "s.empty", "s.fps"), "shingles")
-    links = set_links(rows.select("rid", "sid", "empty", "fps", F.col("carried").getField(text).alias("text")), sketch, shingle, similar, max_bucket)
+    rows = materialize(found.select("rid", "carried", "s.sid", "s.size", "s.fps"), "shingles")
+    links = set_links(rows.select("rid", "sid", "size", "fps", F.col("carried").getField(text).alias("text")), sketch, shingle, similar, max_bucket)
     labels = connected_components(links)
     named = rows.select("rid", "sid", F.col("carried").getField(doc_id).alias("id"), F.xxhash64("carried").alias("hash"))
     # Copies are combined before the join, so that no large group of them meets in one task.
