@@ -1,27 +1,29 @@
 """WARC archives: a writer, and a sequential reader.
 
 An archive is a file in the shared folder, with one gzip member per record.
-Each task writes its rows to archives of about ``archive_bytes``, under a
-temporary name first, then under one that is made of the partition and the
-number of the file, so a task that runs twice replaces its own file. Only a
-manifest, one row per archive, goes through Spark.
+Each task writes its rows to archives of about ``archive_bytes``, whose names
+hold the partition and the attempt. Only a manifest, one row per archive, goes
+through Spark, and it says which files count: a task that runs twice leaves
+files that no manifest names, and never mixes its records with those of the
+first attempt.
 
-The reader takes one archive per task and holds one record at most: it feeds
-a zlib decompressor in chunks, starts a new one at the end of each member,
-splits the headers off, cuts the block by Content-Length, and compares the
-SHA-1 of what it got with the digest that the headers give.
+The reader takes one archive per task and holds a chunk at a time, however long
+a record is: it feeds a zlib decompressor, starts a new one at the end of each
+member, splits the headers off, cuts the block by Content-Length, and compares
+the SHA-1 of what passes by with the digest that the headers give.
 
 Equal payloads are stored once: the page with the smallest id is a response,
 others are revisit records with the digest and the response's id. Ids are
 compared as numbers; rows that share the smallest id are all responses; a row
-without id revisits unless no row of its payload has one.
+without id revisits unless no row of its payload has one. A null or empty html
+is an empty payload; an empty table makes no archive; other columns, whatever
+their names, are left out.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import posixpath
 import zlib
 
@@ -35,6 +37,8 @@ from quern.llm.common import materialize, new_folder, table
 
 ARCHIVE_BYTES = 32 << 20
 CHUNK = 1 << 16
+#: Headers of over this many bytes are damaged.
+MAX_HEAD = 1 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 MANIFEST = "path string, records long, bytes long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -70,48 +74,82 @@ class Damaged(ValueError):
     """An archive that can't be read to its end as it was written."""
 
 
-def members(stream, chunk: int = CHUNK):
-    """Yield the content of each gzip member of a binary stream."""
+def member_parts(stream, chunk: int = CHUNK):
+    """Yield (bytes, last) for the content of the gzip members of a binary stream, at most ``chunk`` bytes at a time."""
     data = b""
-    while True:
-        if not data:
-            data = stream.read(chunk)
-            if not data:
-                return
-        z, parts = zlib.decompressobj(31), []
+    while data := data or stream.read(chunk):
+        z = zlib.decompressobj(31)
         while not z.eof:
+            data = data or stream.read(chunk)
             if not data:
-                data = stream.read(chunk)
-                if not data:
-                    raise Damaged("the last member is cut off")
+                raise Damaged("the last member is cut off")
             try:
-                parts.append(z.decompress(data))
+                part = z.decompress(data, chunk)
             except zlib.error as e:
                 raise Damaged(str(e)) from e
-            data = z.unused_data
-        yield b"".join(parts)
-
-
-def _headers(block: bytes, what: str) -> tuple[str, dict[str, str], bytes]:
-    head, end, rest = block.partition(b"\r\n\r\n")
-    if not end:
-        raise Damaged(f"{what} headers without an end")
-    first, *lines = head.decode("utf-8").split("\r\n")
-    pairs = (x.partition(":") for x in lines)
-    return first, {k.strip().lower(): v.strip() for k, _, v in pairs}, rest
-
-
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of a record; fails if lengths or digest disagree."""
-    first, head, rest = _headers(data, "record")
-    n = int(head["content-length"])
-    if not first.startswith("WARC/1.") or len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
-        raise Damaged("a record isn't as long as it says")
-    _, http, payload = _headers(rest[:n], "HTTP")
-    if head["warc-type"] == "response":
-        if len(payload) != int(http["content-length"]) or head["warc-payload-digest"] != f"sha1:{b32_sha1(payload)}":
-            raise Damaged("a payload doesn't fit its length or digest")
-    return head, payload
+            data = z.unused_data if z.eof else z.unconsumed_tail
+            yield part, z.eof
+
+
+class Record:
+    """A record that is read part by part; fails if lengths or digest disagree."""
+
+    def __init__(self):
+        self.pending, self.sha1 = b"", hashlib.sha1()
+        self.head: dict[str, str] | None = None
+        self.http: dict[str, str] | None = None
+        self.left = self.payload_bytes = 0
+
+    def _headers(self, what: str) -> tuple[str, dict[str, str]] | None:
+        head, end, rest = self.pending.partition(b"\r\n\r\n")
+        if not end:
+            if len(head) > MAX_HEAD:
+                raise Damaged(f"{what} headers without an end")
+            return None
+        self.pending = rest
+        first, *lines = head.decode("utf-8").split("\r\n")
+        pairs = (x.partition(":") for x in lines)
+        self.left -= len(head) + 4
+        return first, {k.strip().lower(): v.strip() for k, _, v in pairs}
+
+    def feed(self, part: bytes) -> None:
+        self.pending += part
+        if self.head is None:
+            if (found := self._headers("record")) is None:
+                return
+            first, self.head = found
+            if not first.startswith("WARC/1."):
+                raise Damaged("not a record")
+            self.left = int(self.head["content-length"])
+        if self.http is None:
+            if (found := self._headers("HTTP")) is None:
+                return
+            self.http = found[1]
+        own = self.pending[: max(self.left, 0)]
+        self.sha1.update(own)
+        self.payload_bytes += len(own)
+        self.left -= len(own)
+        self.pending = self.pending[len(own) :]
+
+    def close(self) -> dict[str, str]:
+        """The headers, once the last part has been fed."""
+        if self.http is None or self.left != 0 or self.pending != b"\r\n\r\n":
+            raise Damaged("a record isn't as long as it says")
+        if self.head["warc-type"] == "response":
+            digest = base64.b32encode(self.sha1.digest()).decode()
+            if self.payload_bytes != int(self.http["content-length"]) or self.head["warc-payload-digest"] != f"sha1:{digest}":
+                raise Damaged("a payload doesn't fit its length or digest")
+        return self.head
+
+
+def records(stream, chunk: int = CHUNK):
+    """Yield (headers, payload bytes) of each record of an archive."""
+    record = Record()
+    for part, last in member_parts(stream, chunk):
+        record.feed(part)
+        if last:
+            yield record.close(), record.payload_bytes
+            record = Record()
 
 
 def _page(urn: str | None):
@@ -135,22 +173,20 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         fs.create_dir(base, recursive=True)
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
-        done, out, n, size, temp = 0, None, 0, 0, ""
+        done, out, n, size, name = 0, None, 0, 0, ""
 
         def close():
             nonlocal out, n, size, done
             out.close()
-            final = posixpath.join(base, f"part-{part:05d}-{done:04d}.warc.gz")
-            fs.move(temp, final)
-            row = pa.RecordBatch.from_pydict({"path": [posixpath.join(folder, posixpath.basename(final))], "records": [n], "bytes": [size]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
+            row = pa.RecordBatch.from_pydict({"path": [posixpath.join(folder, posixpath.basename(name))], "records": [n], "bytes": [size]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
             out, n, size, done = None, 0, 0, done + 1
             return row
 
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    temp = posixpath.join(base, f"tmp-{part:05d}-{done:04d}-{attempt}")
-                    out = fs.open_output_stream(temp)
+                    name = posixpath.join(base, f"part-{part:05d}-{attempt}-{done:04d}.warc.gz")
+                    out = fs.open_output_stream(name, compression=None)
                 payload = (row["html"] or "").encode()
                 member = gzip_member(record_bytes(row["page_id"], row["url"], payload, row["record_type"], row["refers_to"]))
                 out.write(member)
@@ -173,10 +209,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 fs, name = _open(path)
                 rows = []
                 with fs.open_input_stream(name, compression=None) as stream:
-                    for data in members(stream):
-                        head, payload = parse_record(data)
+                    for head, payload_bytes in records(stream):
                         revisit = head["warc-type"] == "revisit"
-                        rows.append((_page(head["warc-record-id"]), head.get("warc-target-uri"), int(head["x-payload-length"]) if revisit else len(payload), head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], _page(head.get("warc-refers-to"))))
+                        rows.append((_page(head["warc-record-id"]), head.get("warc-target-uri"), int(head["x-payload-length"]) if revisit else payload_bytes, head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], _page(head.get("warc-refers-to"))))
                         if len(rows) == 1000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                             rows = []
