@@ -1,14 +1,15 @@
 """URL filter: a blocked Bloom filter before an exact join, and host rules.
 
 The listed URLs are reduced to a canonical form and set into a blocked Bloom
-filter with a fixed number of 256-bit blocks, so that its broadcast has a
-bound that does not grow with the list (``n_blocks`` rows of four longs and a
-key). A longer list raises the share of false hits, never the result: every
-possible hit is joined exactly with the list by its canonical URL. Rows that
-the filter refuses skip the shuffle.
+filter of 256-bit blocks, about one for eight listed URLs and at most
+``MAX_BLOCKS``, so that its broadcast has a bound (rows of four longs and a
+key). A list beyond that raises the share of false hits, never the result:
+every possible hit is joined exactly with the list by its canonical URL. Rows
+that the filter refuses, and those without a canonical URL, skip the shuffle.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no rule
-and are never listed.  Repeated rows are judged one by one.
+and are never listed. Repeated rows are judged one by one; an empty table or list
+gives what the rules say.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import materialize, table
 
-#: 65,536 blocks of 256 bits: about 4 MB when broadcast.
-N_BLOCKS = 1 << 16
+#: Blocks of 256 bits at least and at most; the latter take about 64 MB when broadcast.
+MIN_BLOCKS, MAX_BLOCKS = 1 << 10, 1 << 20
+#: Listed URLs for each block: one in about 400 others is a false hit then.
+PER_BLOCK = 8
 LANES = 4
 #: (verdict, host, path prefix)
 RULES = (
@@ -32,7 +35,8 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRACKING = r"^(utm_[^=]*|ref|gclid|fbclid)(=|$)"
-#: Hosts whose pages make up the list of the query op9_url_filter.
+#: The list of the query op9_url_filter: URLs on these hosts, and on any host those that a feed has given out.
+FEED = r"[?&]utm_source=feed"
 SPAM_HOST = r"(^|\.)(spam-farm|cheap-pills)\."
 
 
@@ -81,24 +85,26 @@ def _mask(key: Column, lane: int) -> Column:
     return F.call_function("shiftleft", one, at[0]).bitwiseOR(F.call_function("shiftleft", one, at[1]))
 
 
-def bloom_blocks(keys: DataFrame, key: str, n_blocks: int = N_BLOCKS) -> DataFrame:
+def bloom_blocks(keys: DataFrame, key: str, n_blocks: int = MIN_BLOCKS) -> DataFrame:
     """One row for each block that is not empty: block and four 64-bit lanes."""
     lanes = [F.bit_or(_mask(F.col(key), k)).alias(f"lane{k}") for k in range(LANES)]
     return keys.groupBy(_block(F.col(key), n_blocks).alias("block")).agg(*lanes)
 
 
-def listed_urls(rows: DataFrame, key: str, listed: DataFrame, url: str = "url", n_blocks: int = N_BLOCKS) -> DataFrame:
+def listed_urls(rows: DataFrame, key: str, listed: DataFrame, url: str = "url", n_blocks: int | None = None) -> DataFrame:
     """``rows`` with a boolean ``listed``: is its canonical URL ``key`` in the list?
 
     ``listed`` has URLs of any form in column ``url``; nulls in it are ignored.
+    An empty key is never listed.
     """
     known = listed.where(F.col(url).contains("://")).select(canonical_url(F.col(url)).alias("__listed")).distinct()
     known = materialize(known, "listed")
+    n_blocks = n_blocks or min(max(known.count() // PER_BLOCK, MIN_BLOCKS), MAX_BLOCKS)
     blocks = bloom_blocks(known, "__listed", n_blocks)
     blocks = blocks.select(F.col("block").alias("__block"), *[F.col(f"lane{k}").alias(f"__lane{k}") for k in range(LANES)])
     probed = rows.withColumn("__block", _block(F.col(key), n_blocks)).join(F.broadcast(blocks), "__block", "left")
     held = [F.col(f"__lane{k}").bitwiseAND(_mask(F.col(key), k)) == _mask(F.col(key), k) for k in range(LANES)]
-    possible = F.coalesce(reduce(Column.__and__, held), F.lit(False))
+    possible = F.coalesce(reduce(Column.__and__, held), F.lit(False)) & (F.col(key) != "")
     hits = probed.where(possible).select(rows.columns)
     misses = probed.where(~possible).select(*rows.columns, F.lit(False).alias("listed"))
     exact = hits.join(known.withColumn("listed", F.lit(True)), F.col(key) == F.col("__listed"), "left")
@@ -106,7 +112,7 @@ def listed_urls(rows: DataFrame, key: str, listed: DataFrame, url: str = "url",
     return exact.unionByName(misses)
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", n_blocks: int = N_BLOCKS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", n_blocks: int | None = None) -> DataFrame:
     """Judge each URL: page_id, host, path, rule, verdict, listed.
 
     The longest fitting rule decides; without one, a URL is blocked when its
@@ -122,9 +128,9 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, page_id: str =
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page, against the rules and a list of the URLs of spam hosts."""
+    """Every page, against the rules and a list of URLs of spam hosts and of a feed."""
     pages = table(spark, sf_dir, "pages")
-    listed = pages.where(host_of(F.col("url")).rlike(SPAM_HOST)).select("url")
+    listed = pages.where(host_of(F.col("url")).rlike(SPAM_HOST) | F.col("url").rlike(FEED)).select("url")
     return filter_urls(pages, listed)
 
 
@@ -144,7 +150,8 @@ WITH u AS (
   FROM u
 ), listed AS (
   SELECT DISTINCT canon FROM c
-  WHERE contains(url, '://') AND regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.')
+  WHERE contains(url, '://')
+    AND (regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.') OR regexp_matches(url, '[?&]utm_source=feed'))
 ), r AS (
   SELECT page_id, host, path,
     CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
