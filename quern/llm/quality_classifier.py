@@ -14,7 +14,10 @@ n-gram length; memory follows the block, not the document.
 
 Defined results: an empty or null text has the score of the bias alone; without
 usable labels, or with labels of one class only, every score is the share of
-label 1 (0.5 without any). Repeated rows are scored one by one.
+label 1 (0.5 without any). Repeated rows are scored one by one; of several
+texts with one labelled id the least teaches. A long text is hashed block by
+block and scored as a whole; an empty table gives no scores; other columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -49,11 +52,12 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def block_features(data: np.ndarray, buckets: int = BUCKETS, grams=GRAMS):
+def block_features(data: np.ndarray, words: list, buckets: int = BUCKETS, grams=GRAMS):
     """Yield (place, bucket) arrays of the features of a block of bytes.
 
     Words are hashed by a sum of powers over their bytes, n-grams by their
     bytes; a space stands before and after each word and counts as its edge.
+    Places and hashes of the words are appended to ``words``.
     """
     n = len(data)
     space = _SPACE[data]
@@ -71,9 +75,8 @@ def block_features(data: np.ndarray, buckets: int = BUCKETS, grams=GRAMS):
         inside[space] = 0
         total = np.r_[np.uint64(0), np.cumsum(inside, dtype=np.uint64)]
         word = total[last] - total[first] + np.uint64(1)
+        words.append((first, word))
         yield first, _bucket(word, buckets)
-        again = first[1:][word[1:] == word[:-1]]
-        yield again, np.full(len(again), AGAIN % buckets)
     for g in grams:
         if n < g:
             continue
@@ -120,13 +123,30 @@ def blocks_of(texts: list[str | None], block: int = BLOCK):
         yield np.frombuffer(b"".join(parts), np.uint8), np.array(starts), np.array(numbers)
 
 
-def text_features(texts: list[str | None], buckets: int = BUCKETS, grams=GRAMS):
+def features_of(texts: list[str | None], buckets: int = BUCKETS, grams=GRAMS, block: int = BLOCK):
+    """Yield (text number, bucket) arrays of all features of some texts.
+
+    A text's features depend on that text alone, wherever blocks begin and end.
+    """
+    last = (np.empty(0, np.int64), np.empty(0, np.uint64))  # text and hash of the word before the block
+    for data, starts, numbers in blocks_of(texts, block):
+        words = []
+        for place, bucket in block_features(data, words, buckets, grams):
+            yield numbers[np.searchsorted(starts, place, "right") - 1], bucket
+        for first, word in words:
+            who = np.r_[last[0], numbers[np.searchsorted(starts, first, "right") - 1]]
+            word = np.r_[last[1], word]
+            again = who[1:][(who[1:] == who[:-1]) & (word[1:] == word[:-1])]
+            yield again, np.full(len(again), AGAIN % buckets)
+            last = who[-1:], word[-1:]
+
+
+def text_features(texts: list[str | None], buckets: int = BUCKETS, grams=GRAMS, block: int = BLOCK):
     """Arrays (text number, bucket) of all features of some texts."""
     who, what = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for data, starts, numbers in blocks_of(texts):
-        for place, bucket in block_features(data, buckets, grams):
-            who.append(numbers[np.searchsorted(starts, place, "right") - 1])
-            what.append(bucket)
+    for text, bucket in features_of(texts, buckets, grams, block):
+        who.append(text)
+        what.append(bucket)
     return np.concatenate(who), np.concatenate(what)
 
 
@@ -140,11 +160,9 @@ class SubwordModel:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
-        for data, starts, numbers in blocks_of(texts):
-            for place, bucket in block_features(data, len(self.weight), self.grams):
-                text = numbers[np.searchsorted(starts, place, "right") - 1]
-                total += np.bincount(text, self.weight[bucket], len(texts))
-                count += np.bincount(text, minlength=len(texts))
+        for text, bucket in features_of(texts, len(self.weight), self.grams):
+            total += np.bincount(text, self.weight[bucket], len(texts))
+            count += np.bincount(text, minlength=len(texts))
         return sigmoid(total / np.maximum(count, 1) + self.bias)
 
 

@@ -15,7 +15,9 @@ words of a block of texts at once.
 
 Defined results: null and empty texts have the probability of the biases; a
 category without labels of both kinds always has the share of its label 1 (0
-without any labels). Repeated rows are scored one by one.
+without any labels). Repeated rows are scored one by one; of several texts with
+one labelled id the least teaches. Long texts are hashed block by block; an
+empty table gives no scores; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
