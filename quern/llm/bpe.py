@@ -18,17 +18,21 @@ a block at once, as arrays. The other, ``fold="sql"``, sends each block's
 pieces through Spark's higher-order functions with the rank map as a literal;
 it takes about a hundred times the CPU seconds (see the README).
 
-Decoding looks each symbol's bytes up, as hex digits in a literal, and joins
-them, with higher-order functions.
+Decoding looks each symbol's bytes up in a literal and concatenates the binary
+pieces, with higher-order functions.
 
 Defined results: null and empty texts have no symbols and decode to nothing;
-repeated rows are encoded one by one. A piece of n bytes takes up to n steps
-over arrays of n, so a text without any break costs the square of its length.
+repeated rows are encoded one by one; an empty table gives no rows; other
+columns, whatever their names, are left out. Pieces of over ``LONG`` bytes are
+folded one by one, with a heap of their pairs: a text of n bytes without any
+break takes n log n steps. Ranks must be below 65,536.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +41,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import let, table
+from quern.llm.common import let, quoted, table
 
 BLOCK_BYTES = 6 << 20
+#: Longer pieces are folded with a heap.
+LONG = 256
 #: Factors and moduli of the two hashes of a pair (all products fit 64 bits).
 HASH_A = (40_503, 30_011)
 HASH_B = (69_069, 104_729)
@@ -107,6 +113,12 @@ class RankMap:
             at = (base + d) % self.size
             taken[at], self.shift[b], self.entries[at] = True, d, packed[rows]
 
+    @cached_property
+    def by_pair(self) -> dict[int, int]:
+        """The rank of each pair, by left << 16 | right."""
+        known = self.entries[self.entries != EMPTY].tolist()
+        return {e >> 16: e & 0xFFFF for e in known}
+
     def column(self, values: np.ndarray) -> Column:
         return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
 
@@ -127,7 +139,49 @@ class RankMap:
         return rank
 
 
-def fold_merges(symbols: np.ndarray, lens: np.ndarray, rank_map: RankMap) -> tuple[np.ndarray, np.ndarray]:
+def fold_long(symbols: np.ndarray, rank_map: RankMap) -> np.ndarray:
+    """Fold the ranked merges over one long piece, with a heap of pairs over linked places."""
+    ids, n, rank_of = symbols.tolist(), len(symbols), rank_map.by_pair
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = []
+    for i in range(n - 1):
+        pair = ids[i] << 16 | ids[i + 1]
+        if (r := rank_of.get(pair)) is not None:
+            heap.append((r, i, pair))
+    heapq.heapify(heap)
+    while heap:
+        r, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] < 0 or j >= n or ids[i] << 16 | ids[j] != pair:
+            continue  # one of the two has been merged since
+        ids[i], ids[j] = r, -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+        for left, right in ((before[i], i), (i, k)):
+            if left >= 0 and right < n and (q := rank_of.get(new := ids[left] << 16 | ids[right])) is not None:
+                heapq.heappush(heap, (q, left, new))
+    return np.array([x for x in ids if x >= 0], np.int64)
+
+
+def fold_merges(symbols: np.ndarray, lens: np.ndarray, rank_map: RankMap, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """Fold the ranked merges over many pieces; those of over ``long`` symbols one by one."""
+    cuts = np.r_[0, np.cumsum(lens)]
+    alone = np.flatnonzero(lens > long)
+    if not len(alone):
+        return fold_short(symbols, lens, rank_map)
+    short = np.where(lens > long, 0, lens)
+    flat, out_lens = fold_short(symbols[np.repeat(lens <= long, lens)], short, rank_map)
+    ends = np.cumsum(out_lens)
+    parts, at = [], 0
+    for k in alone.tolist():
+        piece = fold_long(symbols[cuts[k] : cuts[k + 1]], rank_map)
+        parts += [flat[at : ends[k]], piece]
+        at, out_lens[k] = ends[k], len(piece)
+    return np.concatenate([*parts, flat[at:]]), out_lens
+
+
+def fold_short(symbols: np.ndarray, lens: np.ndarray, rank_map: RankMap) -> tuple[np.ndarray, np.ndarray]:
     """Fold the ranked merges over many pieces at once.
 
     ``symbols``: the byte symbols of all pieces; ``lens``: how many each has.
@@ -290,7 +344,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     """doc_id and ids (array of int) of each row; no special symbols are made."""
     ranks = read_ranks(default_ranks()) if ranks is None else ranks
     pattern = default_pattern() if pattern is None else pattern
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
     rank_map = RankMap(ranks)
     if fold == "arrays":
         return rows.mapInArrow(_encode_arrays(ranks, rank_map, pattern, block_bytes), "doc_id long, ids array<int>")
@@ -309,7 +363,15 @@ def decode(ids: Column, ranks: dict[bytes, int] | None = None) -> Column:
     for piece, r in ranks.items():
         pieces[r] = piece.hex()
     every = F.split(F.lit(",".join(pieces)), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(every, i)), ""))
+    nothing = F.lit(b"")
+    # Chunks of about the root of the length: joining them copies no more than joining their pieces.
+    step = F.greatest(F.lit(16), F.sqrt(F.size(ids)).cast("int"))
+
+    def joined(k: Column) -> Column:
+        return F.aggregate(F.slice(ids, k * step + 1, step), nothing, lambda out, i: F.concat(out, F.unhex(F.get(every, i))))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / step).cast("int")), joined)
+    return F.when(F.size(ids) == 0, nothing).otherwise(F.aggregate(chunks, nothing, lambda out, c: F.concat(out, c)))
 
 
 def digests(encoded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
