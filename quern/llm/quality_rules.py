@@ -10,13 +10,21 @@ The estimate runs as aggregations only. A concentration step finds for each
 group the distance below which the share ``SUPPORT`` of the rows lies, then
 the mean and the covariance of these rows; the determinant never rises from
 one step to the next. It is begun from two places (median and MAD; mean and
-standard deviation) and the end with the smaller determinant counts. Groups of
-under ``min_group`` rows use the estimate of their language, and languages
-with fewer rows reject nothing.
+standard deviation) and the end with the smaller determinant counts.
+
+A group's estimate is drawn towards that of its language, and that towards the
+estimate of all documents, the more the smaller it is: with n rows its own
+share is n / (n + ``PRIOR``), at any size.
+
+Quantiles are those of Spark's percentile_approx: exact in groups of up to 1000
+rows, and within a thousandth of the rows beyond, where they may depend on the
+order in which partial summaries meet.
 
 Defined results: a null text has no words and so fails the base rules; null
 languages and sources are groups of their own; repeated rows are judged one by
-one; in an empty table nothing is estimated.
+one; texts of any length are counted whole; in an empty table nothing is
+estimated; ties at a limit count as inner rows; other columns, whatever their
+names, can be carried in a struct of their own.
 """
 
 from __future__ import annotations
@@ -31,16 +39,18 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SUPPORT = 0.75
 STEPS = 4
-MIN_GROUP = 60
+#: Rows at which a group's own estimate has half the weight.
+PRIOR = 60
 #: Standard deviations added to each axis, so that a statistic which is the
 #: same in most documents of a group doesn't make every other value an outlier.
 #: That of the length is large: a long document is not junk by that alone.
-FLOOR = {"x_len": 1.0, "x_mean": 0.12, "x_symbols": 0.35, "x_dup": 0.12, "x_repeat": 0.12}
+FLOOR = {"x_len": 1.0, "x_mean": 0.12, "x_symbols": 0.35, "x_dup": 0.12, "x_repeat": 0.12, "x_again": 0.12}
 AXES = tuple(FLOOR)
-#: The squared distance that a five-dimensional normal exceeds once in 1e6 rows.
-CUTOFF = 36.9
-#: Medians of chi-squared with 5 degrees of freedom, truncated at SUPPORT: makes the scatter of the inner rows that of all.
-CONSISTENCY = 1.74
+#: The squared distance that a six-dimensional normal exceeds once in 1e6 rows.
+CUTOFF = 38.3
+#: Makes the scatter of the inner SUPPORT of a six-dimensional normal that of all:
+#: SUPPORT / P(chi2 with 8 degrees < q), q = 7.841 the SUPPORT quantile of chi2 with 6.
+CONSISTENCY = 1.362
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -66,7 +76,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def base_counts(text: Column) -> Column:
-    """A struct of the five counts of a text."""
+    """A struct of the counts of a text; ``n_again``: words equal to the one before."""
     t = F.coalesce(text, F.lit(""))
 
     def of_words(words: Column) -> Column:
@@ -78,12 +88,13 @@ def base_counts(text: Column) -> Column:
             F.char_length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             dup.cast("long").alias("n_dup_lines"),
             repeated_words(words).cast("long").alias("n_repeat_words"),
+            F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))).cast("long").alias("n_again"),
         )
 
     return let(words_of(text), of_words)
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_again")
 
 
 def base_failed() -> Column:
@@ -99,11 +110,12 @@ def statistic_vector() -> list[Column]:
         F.log1p(20 * F.col("n_symbols") / n).alias("x_symbols"),
         F.sqrt(F.col("n_dup_lines") / n).alias("x_dup"),
         F.sqrt(F.col("n_repeat_words") / n).alias("x_repeat"),
+        F.sqrt(F.col("n_again") / n).alias("x_again"),
     ]
 
 
 def _factor(groups: DataFrame) -> DataFrame:
-    """Columns m_i and c_i_j to m_i, the factor l_i_j and log_det.
+    """Columns m_i and c_i_j, with the factor l_i_j and log_det.
 
     The factor's columns are added row by row of the matrix, so that each
     expression stays short.
@@ -117,8 +129,22 @@ def _factor(groups: DataFrame) -> DataFrame:
                 s = s - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(s, F.lit(1e-9))) if i == j else s / F.col(f"l_{j}_{j}"))
     det = sum((F.log(F.col(f"l_{i}_{i}")) for i in range(1, d)), F.log(F.col("l_0_0")))
-    names = [f"m_{i}" for i in range(d)] + [f"l_{i}_{j}" for i in range(d) for j in range(i + 1)]
-    return out.select("grp", "start", "n", *names, (2 * det).alias("log_det"))
+    return out.withColumn("log_det", 2 * det)
+
+
+def _shrunk(groups: DataFrame, prior: int) -> DataFrame:
+    """fine (a group), m_i and l_i_j: each estimate drawn towards its language's, and that towards that of all."""
+    d = len(AXES)
+    names = [f"m_{i}" for i in range(d)] + [f"c_{i}_{j}" for i in range(d) for j in range(i + 1)]
+    own, lang = (groups.where(F.col("level") == k).select(F.col("grp").alias(f"g{k}"), F.col("lang").alias(f"lang{k}"), F.struct("n", *names).alias(f"e{k}")) for k in (0, 1))
+    every = groups.where("level = 2").first()  # one row
+    both = own.join(broadcast_if_small(lang), F.col("lang0").eqNullSafe(F.col("lang1")))
+
+    def drawn(k: int, name: str, towards: Column) -> Column:
+        n = F.col(f"e{k}.n")
+        return (n * F.col(f"e{k}.{name}") + prior * towards) / (n + prior)
+
+    return _factor(both.select(F.col("g0").alias("fine"), *[drawn(0, c, drawn(1, c, F.lit(every[c] if every else 0.0))).alias(c) for c in names]))
 
 
 def squared_distance() -> Column:
@@ -166,7 +192,7 @@ def _concentrate(vectors: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def robust_estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
-    """The estimate of each group ``grp`` of vectors: m_i, l_i_j and n."""
+    """The estimate of each group ``grp`` of vectors: m_i, c_i_j, l_i_j and n."""
     groups = materialize(_starts(vectors), "mcd-start")
     for _ in range(steps):
         groups = _concentrate(vectors, groups)
@@ -174,32 +200,30 @@ def robust_estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     return materialize(best.select("grp", "best.*").drop("start", "log_det"), "mcd")
 
 
-def assess(docs: DataFrame, carry=(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
+def assess(docs: DataFrame, carry=(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, prior: int = PRIOR, steps: int = STEPS) -> DataFrame:
     """Counts and verdict of each document, and the columns named in ``carry``.
 
     Returns the carried columns as a struct ``carried`` where there are any,
-    doc_id, the five counts, base_failed, distance2 (null where the base rules
-    failed or the group is too small) and kept. The counts are written once to
-    the shared folder, so that no text is read again.
+    doc_id, the counts, base_failed, distance2 (null where the base rules
+    failed) and kept. The counts are written once to the shared folder, so that
+    no text is read again.
     """
     held = [F.struct(*[F.col(quoted(c)).alias(c) for c in carry]).alias("carried")] if carry else []
-    counted = docs.select(*held, F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), base_counts(F.col(text)).alias("c"))
+    counted = docs.select(*held, F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(lang)).alias("lang"), F.col(quoted(source)).alias("source"), base_counts(F.col(quoted(text))).alias("c"))
     counted = materialize(counted.select(*["carried"] * bool(carry), "doc_id", "lang", "source", *[F.col(f"c.{c}").alias(c) for c in COUNTS]), "counts")
     counted = counted.withColumn("base_failed", base_failed())
     passed = counted.where(~F.col("base_failed")).select("lang", "source", *statistic_vector())
-    fine = F.struct(F.col("lang"), F.col("source"), F.lit(True).alias("fine"))
-    coarse = F.struct(F.col("lang"), F.lit(None).cast("string").alias("source"), F.lit(False).alias("fine"))
-    vectors = materialize(passed.select(F.to_json(fine).alias("grp"), *AXES).unionByName(passed.select(F.to_json(coarse).alias("grp"), *AXES)), "vectors")
-    found = robust_estimates(vectors, steps).where(F.col("n") >= min_group)
-    sides = []
-    for grp, name in ((fine, "fine"), (coarse, "coarse")):
-        own = [F.struct(*[F.col(c) for c in found.columns if c != "grp"]).alias(name)]
-        sides.append((F.to_json(grp), found.select(F.col("grp").alias(f"__{name}"), *own), name))
-    judged = counted
-    for key, side, name in sides:
-        judged = judged.join(broadcast_if_small(side), key == F.col(f"__{name}"), "left").drop(f"__{name}")
-    judged = judged.select(*["carried"] * bool(carry), "doc_id", *COUNTS, "base_failed", *statistic_vector(), F.coalesce("fine", "coarse").alias("estimate"))
-    judged = judged.select("*", "estimate.*").withColumn("distance2", F.when(~F.col("base_failed") & F.col("estimate").isNotNull(), squared_distance()))
+    # Each vector counts in its group, its language and among all.
+    none = F.lit(None).cast("string")
+    groups = [F.struct(F.lit(k).alias("level"), lang_.cast("string").alias("lang"), source_.cast("string").alias("source")) for k, (lang_, source_) in enumerate(((F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none)))]
+    vectors = materialize(passed.select(F.explode(F.array(*[F.to_json(g) for g in groups])).alias("grp"), *AXES), "vectors")
+    found = robust_estimates(vectors, steps)
+    key = F.from_json("grp", "level int, lang string, source string")
+    found = materialize(found.select("*", key["level"].alias("level"), key["lang"].alias("lang")), "groups")
+    side = materialize(_shrunk(found, prior).select("fine", F.struct(*[f"m_{i}" for i in range(len(AXES))], *[f"l_{i}_{j}" for i in range(len(AXES)) for j in range(i + 1)]).alias("estimate")), "estimates")
+    judged = counted.join(broadcast_if_small(side), F.to_json(groups[0]) == F.col("fine"), "left")
+    judged = judged.select(*["carried"] * bool(carry), "doc_id", *COUNTS, "base_failed", *statistic_vector(), "estimate.*")
+    judged = judged.withColumn("distance2", F.when(~F.col("base_failed"), squared_distance()))
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("distance2") <= cutoff, F.lit(True)))
     return judged.select(*["carried"] * bool(carry), "doc_id", *COUNTS, "base_failed", "distance2", kept.alias("kept"))
 
