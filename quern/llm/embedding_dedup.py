@@ -22,7 +22,8 @@ Defined results: vectors that are null, empty or zero, that hold nulls or
 numbers that aren't finite, or that have no label link with nothing and are
 their own component; vectors of different lengths are never linked. Repeated
 ids are linked like others and get one row each. A null id names a component
-only if it has no other.
+only if it has no other. An empty table gives no rows; other columns, whatever
+their names, are left out.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, table
+from quern.llm.common import materialize, quoted, table
 from quern.llm.components import connected_components
 from quern.llm.simhash import spanning_forest
 
@@ -44,6 +45,7 @@ BLOCK = 4096
 #: Rows of small buckets that share a group, about.
 GROUP_ROWS = 20_000
 SEED = 42
+KEPT_TYPES = {"array<float>": "array<float>"}
 #: Rows of a slab of the cosine matrix: bounds memory.
 SLAB = 1024
 
@@ -55,13 +57,15 @@ def projections(dim: int, tables: int = TABLES, width: int = WIDTH, cell: float
 
 
 def signatures(unit: np.ndarray, tables: int = TABLES, width: int = WIDTH, cell: float = CELL, seed: int = SEED) -> np.ndarray:
-    """One 64-bit number per row and table, of the quantised projections."""
+    """One 32-bit number per row and table, of the quantised projections."""
     a, b = projections(unit.shape[1], tables, width, cell, seed)
     cells = np.floor((unit @ a + b) / cell).astype(np.int64).reshape(len(unit), tables, width)
     out = np.zeros((len(unit), tables), np.int64)
     for k in range(width):
         out = out * 1024 + (cells[:, :, k] + 512)
-    return out
+    # 32 bits of it name the bucket: two quantised places that share a name are one bucket.
+    out = out.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -74,7 +78,7 @@ def _hashed(tables, width, cell, seed):
     def run(batches):
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
-            out = np.zeros((len(pdf), tables), np.int64)
+            out = np.zeros((len(pdf), tables), np.int32)
             for dim, rows in pdf.groupby(pdf["vec"].map(len)).groups.items():
                 out[rows] = signatures(_unit(pdf["vec"][rows].tolist()), tables, width, cell, seed)
             yield pdf.assign(sigs=list(out))
@@ -90,7 +94,7 @@ def _compare(min_cosine: float):
             if n < 2:
                 continue
             x = _unit(rows["vec"].tolist())
-            before = np.array(rows["sigs"].tolist(), np.int64)[:, :t]
+            before = np.stack(rows["sigs"].to_numpy())[:, :t]
             blk, cls, m = rows["blk"].to_numpy(), rows["class_id"].to_numpy(), rows["m"].to_numpy()
             links, edges_a, edges_b = np.zeros(n, np.int64), [], []
             for at in range(0, n, SLAB):
@@ -124,7 +128,7 @@ def class_links(classes: DataFrame, min_cosine: float = MIN_COSINE, tables: int
     ``classes``: class_id, label, vec (of finite numbers, not all zero) and m
     (vectors in the class), materialized. One class may have several rows.
     """
-    hashed = classes.mapInPandas(_hashed(tables, width, cell, seed), "class_id long, label int, vec array<double>, m long, sigs array<long>")
+    hashed = classes.mapInPandas(_hashed(tables, width, cell, seed), f"class_id long, label int, vec {classes.schema['vec'].dataType.simpleString()}, m long, sigs array<int>")
     hashed = materialize(hashed, "signed")
     keyed = hashed.select("*", F.posexplode("sigs").alias("t", "bucket"))
     key = ["label", "t", "bucket"]
@@ -146,23 +150,25 @@ def class_links(classes: DataFrame, min_cosine: float = MIN_COSINE, tables: int
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", min_cosine: float = MIN_COSINE, **params) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("int").alias("label"), F.col(embedding).cast("array<double>").alias("vec"))
+    rows = vectors.select(F.col(quoted(vec_id)).cast("long").alias("vec_id"), F.col(quoted(label)).cast("int").alias("label"), F.col(quoted(embedding)).alias("vec"))
+    # Single precision stays as it is, so that half as much is shuffled; it is widened before any sum.
+    rows = rows.withColumn("vec", F.col("vec").cast(KEPT_TYPES.get(rows.schema["vec"].dataType.simpleString(), "array<double>")))
     sound = F.col("label").isNotNull() & F.col("vec").isNotNull() & F.coalesce(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("vec", lambda v: v != 0), F.lit(False))
     rows = materialize(rows.withColumn("sound", sound), "vectors")
     good = rows.where("sound")
     own = good.groupBy(F.col("label").alias("label_"), F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("h2")).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("vec").alias("vec"))
-    # A class is named by a hash of its content, so that null and repeated ids do no harm.
-    own = materialize(own.select(F.xxhash64("label_", "h", "h2").alias("class_id"), F.col("label_").alias("label"), "vec", "m", "rep"), "classes")
+    # A class is named by a number that it gets when the table is written, once: no two classes share one.
+    own = materialize(own.withColumn("class_id", F.monotonically_increasing_id()).select("class_id", F.col("label_").alias("label"), "h", "h2", "vec", "m", "rep"), "classes")
     found = materialize(class_links(own.select("class_id", "label", "vec", "m"), min_cosine, **params), "near")
     counts = found.groupBy("class_id").agg(F.sum("n").alias("n"))
     labels = connected_components(found.select(F.col("class_id").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "__node")
-    known = own.select("class_id", "rep", "m").join(counts, "class_id", "left").join(labels, F.col("class_id") == F.col("__node"), "left")
-    known = materialize(known.select("class_id", "rep", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("label_")), "known")
+    known = own.select("class_id", "label", "h", "h2", "rep", "m").join(counts, "class_id", "left").join(labels, F.col("class_id") == F.col("__node"), "left")
+    known = materialize(known.select("label", "h", "h2", "rep", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("label_")), "known")
     least = known.groupBy("label_").agg(F.min("rep").alias("component_id"))
-    known = materialize(known.join(least, "label_").select(F.col("class_id").alias("__class"), "n_links", "component_id"), "classes")
-    keyed = rows.select("vec_id", F.when(F.col("sound"), F.xxhash64("label", F.xxhash64("vec"), F.xxhash64(F.lit(1), "vec"))).alias("class_id"))
-    linked = keyed.where("class_id IS NOT NULL").join(known, F.col("class_id") == F.col("__class"), "left").select("vec_id", "n_links", "component_id")
-    alone = keyed.where("class_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    known = materialize(known.join(least, "label_").select(F.col("label").alias("__label"), F.col("h").alias("__h"), F.col("h2").alias("__h2"), "n_links", "component_id"), "known")
+    keyed = rows.where("sound").select("vec_id", "label", F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("h2"))
+    linked = keyed.join(known, [F.col(c) == F.col(f"__{c}") for c in ("label", "h", "h2")], "left").select("vec_id", "n_links", "component_id")
+    alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
