@@ -52,3 +52,16 @@ def test_query_on_documents(spark, ranks, reference):
 def test_odd_and_no_rows(odd, none, ranks):
     assert bpe.digests(bpe.encode(odd, ranks), ranks).count() == odd.count()
     assert bpe.digests(bpe.encode(none, ranks), ranks).collect() == []
+
+
+def test_long_texts_without_a_break(spark, ranks, reference):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "".join(rng.choices("漢字日本語", k=60_000)), "a" * 5000 + " " + "".join(rng.choices("ab", k=700))]
+    rank_map = bpe.RankMap(ranks)
+    flat, lens = bpe.fold_merges(*bpe._byte_symbols([texts[0].encode(), b"ab", texts[1].encode()], ranks), rank_map)
+    want = [reference.encode_ordinary(t) for t in (texts[0], "ab", texts[1])]
+    assert flat.tolist() == [i for w in want for i in w] and lens.tolist() == list(map(len, want))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.digests(bpe.encode(df, ranks), ranks).collect():
+        assert r["n_tokens"] == len(reference.encode_ordinary(texts[r["doc_id"]]))
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()

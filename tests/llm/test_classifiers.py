@@ -64,6 +64,17 @@ def test_scores_do_not_depend_on_the_block():
         assert sorted(what[who == k]) == sorted(alone)
 
 
+def test_features_are_those_of_the_text_alone():
+    texts = ["foo bar", "bar baz qux qux", None, "qux", " qux qux ", "ab ab ab é é x x"]
+    alone = {k: sorted(quality_classifier.text_features([t])[1]) for k, t in enumerate(texts)}
+    again = quality_classifier.AGAIN % quality_classifier.BUCKETS
+    assert [alone[k].count(again) for k in range(len(texts))] == [sum(a == b for a, b in zip((t or "").split(), (t or "").split()[1:])) for t in texts]
+    for order in ([0, 1, 2, 3, 4, 5], [5, 4, 3, 2, 1, 0], [3, 4, 3, 1, 0, 1]):
+        for block in range(1, 40):
+            who, what = quality_classifier.text_features([texts[k] for k in order], block=block)
+            assert [sorted(what[who == i]) for i in range(len(order))] == [alone[k] for k in order]
+
+
 def test_model_learns_from_character_n_grams():
     rng = np.random.default_rng(0)
     texts = [" ".join(("zq" if y else "") + "".join(rng.choice(list("abcdef"), 6)) for _ in range(30)) for y in (0, 1) * 100]
@@ -72,6 +83,19 @@ def test_model_learns_from_character_n_grams():
     assert ((model.scores(texts[150:]) >= 0.5) == y[150:]).all()
 
 
+def test_a_chain_of_three_learns_from_folds_left_out():
+    rng = np.random.default_rng(1)
+    n = 600
+    first, noise = rng.integers(0, 2, n), rng.integers(0, 2, n)
+    texts = [" ".join(["badword"] * (3 * a) + ["other"] * b + [f"w{rng.integers(2000)}" for _ in range(20)]) for a, b in zip(first, noise)]
+    # The second can't be learned at all: a model that saw its own rows would trust it.
+    chance = rng.integers(0, 2, n)
+    chain = toxicity.fit_chain(texts[:400], {"a": first[:400], "b": chance[:400], "c": first[:400] * noise[:400]})
+    p = chain.probabilities(texts[400:])
+    assert p.shape == (200, 3) and ((p[:, 2] >= 0.5) == (first * noise)[400:]).mean() > 0.95
+    assert abs(chain.links[2].earlier[1]) < abs(chain.links[2].earlier[0])
+
+
 def test_chain_uses_the_earlier_category():
     rng = np.random.default_rng(0)
     n = 400
