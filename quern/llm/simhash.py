@@ -54,6 +54,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import broadcast_if_small, discard, materialize, one_per_label, quoted, release, table, whole_row
 from quern.llm.components import connected_components
+from quern.llm.url_filter import possible_hits
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -482,7 +483,8 @@ def set_links(rows: DataFrame, sketch: Sketch, shingle: int = SET_SHINGLE, simil
     asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "asked")
     # Copies of one set share its name; any of their texts has the same shingles.
     firsts = materialize(named.select("sid", "rid").join(asked, "sid", "left_semi"), "firsts")
-    texts = rows.select("rid", "text").join(firsts, "rid").select("sid", "text")
+    texts, _ = possible_hits(rows.select("rid", "text"), "rid", firsts.select("rid"))
+    texts = texts.join(firsts, "rid").select("sid", "text")
     sets = materialize(texts.select("sid", _hash_sets(shingle)("text").alias("hashes")), "hashes")
     links = materialize(_checked(pairs, sets, similar), "links")
     labels = connected_components(links)
@@ -515,7 +517,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     sets = materialize(one_per_label(named, "sid"), "sets")
     joined = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     kept = one_per_label(joined.select(F.coalesce("component", "sid").alias("label"), "id", "hash", "rid"), "label")
-    return rows.join(materialize(kept.select("rid"), "kept"), "rid", "left_semi").select("carried.*")
+    kept = materialize(kept.select("rid"), "kept")
+    # Most rows stay: a Bloom filter of the others spares them the shuffle.
+    dropped = materialize(rows.select("rid").join(kept, "rid", "left_anti"), "dropped")
+    unsure, stay = possible_hits(rows.select("rid", "carried"), "rid", dropped)
+    return unsure.join(dropped, "rid", "left_anti").unionByName(stay).select("carried.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

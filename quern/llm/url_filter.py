@@ -91,25 +91,35 @@ def bloom_blocks(keys: DataFrame, key: str, n_blocks: int = MIN_BLOCKS) -> DataF
     return keys.groupBy(_block(F.col(key), n_blocks).alias("block")).agg(*lanes)
 
 
-def listed_urls(rows: DataFrame, key: str, listed: DataFrame, url: str = "url", n_blocks: int | None = None) -> DataFrame:
-    """``rows`` with a boolean ``listed``: is its canonical URL ``key`` in the list?
+def possible_hits(rows: DataFrame, key: str, known: DataFrame, n_blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``key`` may be among ``known``, and those whose key isn't, for certain.
 
-    ``listed`` has URLs of any form in column ``url``; nulls in it are ignored.
-    An empty key is never listed.
+    ``known``: one column, materialized. No row is shuffled.
     """
-    known = listed.where(F.col(url).contains("://")).select(canonical_url(F.col(url)).alias("__listed")).distinct()
-    known = materialize(known, "listed")
+    name = known.columns[0]
     n_blocks = n_blocks or min(max(known.count() // PER_BLOCK, MIN_BLOCKS), MAX_BLOCKS)
-    blocks = bloom_blocks(known, "__listed", n_blocks)
+    blocks = bloom_blocks(known, name, n_blocks)
     blocks = blocks.select(F.col("block").alias("__block"), *[F.col(f"lane{k}").alias(f"__lane{k}") for k in range(LANES)])
     probed = rows.withColumn("__block", _block(F.col(key), n_blocks)).join(F.broadcast(blocks), "__block", "left")
     held = [F.col(f"__lane{k}").bitwiseAND(_mask(F.col(key), k)) == _mask(F.col(key), k) for k in range(LANES)]
-    possible = F.coalesce(reduce(Column.__and__, held), F.lit(False)) & (F.col(key) != "")
-    hits = probed.where(possible).select(rows.columns)
-    misses = probed.where(~possible).select(*rows.columns, F.lit(False).alias("listed"))
+    possible = F.coalesce(reduce(Column.__and__, held), F.lit(False))
+    return probed.where(possible).select(rows.columns), probed.where(~possible).select(rows.columns)
+
+
+def listed_urls(rows: DataFrame, key: str, listed: DataFrame, url: str = "url", n_blocks: int | None = None) -> DataFrame:
+    """``rows`` with a boolean ``listed``: is its canonical URL ``key`` in the list?
+
+    ``listed`` has URLs of any form in column ``url``; nulls in it are ignored.
+    An empty key is never listed, and so never a hit: it isn't in the list.
+    """
+    known = listed.where(F.col(url).contains("://")).select(canonical_url(F.col(url)).alias("__listed")).distinct()
+    known = materialize(known.where(F.col("__listed") != ""), "listed")
+    # Rows without a key would be one hot key of the join, if their bits were set by others.
+    hits, misses = possible_hits(rows.where(F.col(key) != ""), key, known, n_blocks)
+    misses = misses.unionByName(rows.where(F.col(key) == ""))
     exact = hits.join(known.withColumn("listed", F.lit(True)), F.col(key) == F.col("__listed"), "left")
     exact = exact.select(*rows.columns, F.coalesce("listed", F.lit(False)).alias("listed"))
-    return exact.unionByName(misses)
+    return exact.unionByName(misses.select("*", F.lit(False).alias("listed")))
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", n_blocks: int | None = None) -> DataFrame:
