@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession
 
-#: name: (schema, rows)
+#: Every pair of a value that both sides have, one that only this side has, and null.
+_LEFT_KEYS = list(product((3, 4, None), (50, 51, None)))
+_RIGHT_KEYS = [*product((3, 5, None), (50, None)), (3, 50), (4, 52)]
+
+#: name: (schema, rows). Keys meet never, once and repeatedly, with nulls on both sides;
+#: measures are null in part of a group and in all of it; values stand on both sides of each bound.
 FIXTURES = {
-    "l": ("id int, k int", [(1, 10), (2, 20), (3, None), (4, 30), (5, 10)]),
-    "r": ("rid int, rk int", [(1, 10), (2, 20), (3, 20), (4, None), (5, 40)]),
-    "mnl": ("id int, a int, b int", [(1, 10, 100), (2, 10, None), (3, 20, None), (4, 30, 300), (5, 40, None), (6, None, 500)]),
-    "mnr": ("rid int, ra int, rb int", [(100, 10, 100), (101, 10, None), (102, 20, None), (103, 30, 999), (104, None, 500)]),
-    "agg_n": ("g int, v int, d decimal(10,2), f double", [(1, 10, "1.00", 1.5), (1, 20, "2.00", None), (1, None, None, 2.5), (2, 5, "5.00", 5.0), (2, None, None, None), (None, 100, "10.00", 10.0), (None, 200, None, None), (3, None, None, None)]),
-    "nt": ("id int, i int, b bigint, dbl double, s string", [(1, 10, 100, 1.5, "apple"), (2, None, None, None, None), (3, 10, None, None, "apple"), (4, None, 100, 2.5, None), (5, 20, 200, 3.5, "banana"), (6, 0, -50, 0.0, ""), (7, 10, 100, 1.5, "apple"), (8, None, None, 4.5, "cherry")]),
-    "ua": ("k int, v string", [(1, "a"), (2, "b"), (3, "c"), (None, "n")]),
-    "ub": ("k int, v string", [(3, "c"), (4, "d"), (3, "c")]),
-    "cust": ("c_id int, c_grp int", [(1, 0), (2, 1), (3, 0), (3, 1), (4, 0), (5, 1), (6, 0), (7, 1), (8, 0), (None, 0), (None, 1)]),
-    "ord": ("o_id bigint, o_cust int, o_val int", [(100, 2, 10), (101, 2, None), (102, 3, 11), (103, 5, 12), (104, 5, None), (105, 5, 13), (106, 42, 14), (107, None, 15)]),
+    "l": ("id int, k int", list(enumerate((7, 7, 8, 9, 3, None, None, 6)))),
+    "r": ("rid int, rk int", list(enumerate((8, 8, 7, 5, None, 9, 9, None, 2), 60))),
+    "mnl": ("id int, a int, b int", [(i, *k) for i, k in enumerate(_LEFT_KEYS)]),
+    "mnr": ("rid int, ra int, rb int", [(i, *k) for i, k in enumerate(_RIGHT_KEYS, 30)]),
+    "agg_n": ("g int, v int, d decimal(10,2), f double", [(g, v, None if v is None or v % 3 == 0 else f"{v}.25", None if v is not None and v % 2 else (v or 0) / 8) for g, values in ((4, (12, 3, None, 41, 8)), (5, (None, None)), (6, (6,)), (None, (7, None, 1500))) for v in values]),
+    "nt": ("id int, i int, b bigint, dbl double, s string", [(k, i, b, f, s) for k, (i, b, f, s) in enumerate(product((4, 10, None), (-70, None), (1.5, 2.5, None), ("fig", "", None)), 1)] + [(90 + k, i, 9, 4.5, "12") for k, i in enumerate((0, 1, 11, 15, 20, 21))]),
+    "ua": ("k int, v string", [(k, v) for k, v in zip((5, 6, 6, 7, None, 8), "pqqr" "uw")]),
+    "ub": ("k int, v string", [(6, "q"), (7, "x"), (8, "w"), (8, "w"), (9, None), (None, "u")]),
+    "cust": ("c_id int, c_grp int", [(k % 7 + 20, k % 3) for k in range(10)] + [(None, k) for k in (0, 2)]),
+    "ord": ("o_id bigint, o_cust int, o_val int", [(500 + k, c, v) for k, (c, v) in enumerate(((21, 4), (21, 9), (22, None), (24, None), (24, 2), (24, 6), (99, 5), (None, 8), (None, None)))]),
     "pairs": ("a int, b int", [(1, None), (1, None), (None, None), (1, 2), (2, 1)]),
     "texts": ("id int, s string", [(1, "héllo wörld"), (2, "a\\b"), (3, ""), (4, None), (5, "aXbXc"), (6, "50%"), (7, "aaa")]),
     "nums": ("id int, a int, b int", [(1, 7, 2), (2, -7, 2), (3, 7, -2), (4, 0, 5), (5, None, 3), (6, 9, 3)]),

@@ -9,7 +9,7 @@ the cost. Each query keeps its operators.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.sources.tables import Tables
@@ -20,8 +20,14 @@ PARTSUPP = """partsupp AS (
          sum(l_quantity) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"""
 
 
-def partsupp(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("ps_supplycost"), F.sum("l_quantity").alias("ps_availqty"))
+def partsupp(t: Tables, parts: DataFrame | None = None, suppliers: DataFrame | None = None) -> DataFrame:
+    """Offers, of given parts (p_partkey) and suppliers (s_suppkey) only: others leave before the aggregation."""
+    li = t.lineitem
+    if parts is not None:
+        li = li.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    if suppliers is not None:
+        li = li.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    return li.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("ps_supplycost"), F.sum("l_quantity").alias("ps_availqty"))
 
 
 def revenue():
@@ -53,10 +59,12 @@ FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag,
 def q2(spark, d):
     t = Tables(spark, d)
     region = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region.where("r_name = 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey"))
-    offers = partsupp(t).join(region, F.col("ps_suppkey") == F.col("s_suppkey"))
-    least = offers.groupBy(F.col("ps_partkey").alias("mk")).agg(F.min("ps_supplycost").alias("mc"))
-    part = t.part.where("p_size <= 15")
-    out = part.join(offers, F.col("p_partkey") == F.col("ps_partkey")).join(least, (F.col("p_partkey") == F.col("mk")) & (F.col("ps_supplycost") == F.col("mc")))
+    part = t.part.where("p_size <= 15").select("p_partkey")
+    offers = partsupp(t, part, region.select("s_suppkey"))
+    # The least cost by a window over the few offers that are left: one aggregation of lineitem.
+    least = F.min("ps_supplycost").over(Window.partitionBy("ps_partkey"))
+    offers = offers.withColumn("mc", least).where("ps_supplycost = mc")
+    out = offers.join(region, F.col("ps_suppkey") == F.col("s_suppkey")).withColumnRenamed("ps_partkey", "p_partkey")
     return out.select("s_acctbal", "s_name", "n_name", "p_partkey").orderBy(F.desc("s_acctbal"), "n_name", "s_name", "p_partkey").limit(100)
 
 
@@ -156,8 +164,9 @@ WHERE r_name = 'AMERICA' AND p_size < 10 AND o_orderdate BETWEEN TIMESTAMP '1995
 
 def q9(spark, d):
     t = Tables(spark, d)
-    out = t.part.where(F.col("p_name").contains("ring")).join(t.lineitem, F.col("p_partkey") == F.col("l_partkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
-    out = out.join(partsupp(t), (F.col("ps_partkey") == F.col("l_partkey")) & (F.col("ps_suppkey") == F.col("l_suppkey"))).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    part = t.part.where(F.col("p_name").contains("ring")).select("p_partkey")
+    out = part.join(t.lineitem, F.col("p_partkey") == F.col("l_partkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    out = out.join(partsupp(t, part), (F.col("ps_partkey") == F.col("l_partkey")) & (F.col("ps_suppkey") == F.col("l_suppkey"))).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     profit = F.sum(revenue() - 0.5 * F.col("ps_supplycost") * F.col("l_quantity"))
     return out.groupBy(F.col("n_name").alias("nation"), F.year("o_orderdate").cast("long").alias("o_year")).agg(F.round(profit, 2).alias("sum_profit")).orderBy("nation", F.desc("o_year"))
 
@@ -321,9 +330,10 @@ Q20 = f"""WITH {PARTSUPP} SELECT s_suppkey, s_name FROM supplier JOIN nation ON
 def q21(spark, d):
     t = Tables(spark, d)
     li = t.lineitem.withColumn("late", F.col("l_returnflag") == "R")
-    # Suppliers of an order, and late ones, by one aggregation instead of two self-joins.
-    per = li.groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("n_supp"), F.countDistinct(F.when(F.col("late"), F.col("l_suppkey"))).alias("n_late"))
-    only = per.where("n_supp > 1 AND n_late = 1").select(F.col("l_orderkey").alias("ok"))
+    late = F.when(F.col("late"), F.col("l_suppkey"))
+    # Are there several suppliers, and one late one? One plain aggregation instead of two self-joins.
+    per = li.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("lo"), F.max("l_suppkey").alias("hi"), F.min(late).alias("late_lo"), F.max(late).alias("late_hi"))
+    only = per.where("lo < hi AND late_lo = late_hi").select(F.col("l_orderkey").alias("ok"))
     out = li.where("late").join(only, F.col("l_orderkey") == F.col("ok")).join(t.orders.where("o_orderstatus = 'F'"), F.col("o_orderkey") == F.col("l_orderkey"))
     out = out.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(t.nation.where("n_regionkey = 2"), F.col("s_nationkey") == F.col("n_nationkey"))
     return out.groupBy("s_name").agg(F.count(F.lit(1)).alias("numwait")).orderBy(F.desc("numwait"), "s_name").limit(100)

@@ -62,3 +62,13 @@ def without_deleted(df: DataFrame, deletes: DataFrame) -> DataFrame:
     """
     gone = deletes.select(F.col("file_path").alias("filename"), F.col("pos").alias("file_row_number"))
     return df.join(gone, ["filename", "file_row_number"], "left_anti")
+
+
+def read_csv(spark: SparkSession, path: str, schema, header: bool = True, **options) -> DataFrame:
+    """Rows of delimited text. The schema is given, so that nothing is read twice to infer it; a bad field fails."""
+    return spark.read.csv(path, schema=schema, header=header, enforceSchema=False, mode="FAILFAST", **options)
+
+
+def read_json(spark: SparkSession, path: str, schema, **options) -> DataFrame:
+    """Rows of JSON, one object a line, by a given schema."""
+    return spark.read.json(path, schema=schema, mode="FAILFAST", **options)
