@@ -11,9 +11,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import cut_lineage
+
 HOWS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 #: A side of at most this many rows may be broadcast, after it was counted.
 BROADCAST_ROWS = 1_000_000
+#: And of at most so many bytes, written as JSON.
+BROADCAST_BYTES = 64 << 20
 
 
 def keys_equal(left: DataFrame, right: DataFrame, pairs, null_safe=()) -> Column:
@@ -39,9 +43,11 @@ def theta_join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner"
     return left.join(right, on, how)
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if a bounded count shows that the side is small; otherwise leave the choice to the planner."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if a bounded count of rows and bytes shows that the side is small; otherwise leave the choice to the planner."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def mark_in(left: DataFrame, right: DataFrame, key: str, among: str, mark: str = "mark") -> DataFrame:
@@ -101,11 +107,12 @@ def numbered(df: DataFrame, order, name: str) -> DataFrame:
     """Adds each row's place in the total order, from 0, without sorting in one task.
 
     Rows are sorted by ranges; each partition is numbered by itself, and the
-    counts of the partitions before it are added. The sorted rows are persisted,
-    so that both steps see the same partitions.
+    counts of the partitions before it are added. The sorted rows are written
+    first: both steps see the same partitions, even if an executor is lost.
     """
     ordered = df.orderBy(*order).withColumn("__mono", F.monotonically_increasing_id())
-    placed = ordered.withColumns({"__part": F.shiftright("__mono", 33), "__at": F.col("__mono").bitwiseAND((1 << 33) - 1)}).persist()
+    placed = ordered.withColumns({"__part": F.shiftright("__mono", 33), "__at": F.col("__mono").bitwiseAND((1 << 33) - 1)})
+    placed = cut_lineage(placed)
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select(F.col("__part").alias("__p2"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     out = placed.join(F.broadcast(before), F.col("__part") == F.col("__p2"))

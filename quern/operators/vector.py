@@ -13,7 +13,8 @@ METRICS = ("l2", "cosine")
 #: Rows that the cells' centres are fitted on at most.
 FIT_ROWS = 50_000
 MOST_LISTS = 1024
-DEFAULT_PROBES = 32
+#: Held-back queries by which the number of probes is chosen, and the recall that it shall reach on them.
+HELD_BACK, NEIGHBOURS, RECALL = 100, 10, 0.97
 
 
 def _doubles(query: Sequence[float]) -> Column:
@@ -93,7 +94,10 @@ class VectorIndexes:
     """Inverted-file indexes: rows are kept with the cell of their nearest centre.
 
     Centres are fitted by seeded k-means on a bounded sample; every row is
-    indexed. A search reads the ``n_probes`` cells nearest to the query.
+    indexed. A search reads the ``n_probes`` cells nearest to the query. Their
+    default is measured when the index is made: exact neighbours of held-back
+    queries are looked up in all rows, and so many cells are probed as held the
+    share ``RECALL`` of them, however many rows and cells there are.
     """
 
     def __init__(self, spark: SparkSession):
@@ -120,17 +124,39 @@ class VectorIndexes:
 
         kept = sound.select(F.col(column).alias("__v"), *df.columns)
         schema = "__list long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        assigned = kept.mapInArrow(assign, schema).repartition("__list").persist()
-        self._held[name] = (assigned, centres, column, metric, df.columns)
+        assigned = kept.mapInArrow(assign, schema).persist()
+        probes = _probes_for(assigned, centres, column, metric, seed) if len(points) else 1
+        self._held[name] = (assigned, centres, column, metric, df.columns, probes)
+
+    def probes(self, name: str) -> int:
+        """The number of cells that a search of this index reads unless it is told."""
+        return self._held[name][5]
+
+    def search_all(self, name: str, queries: DataFrame, query_id: str, query: str, row_id: str, k: int = 10) -> DataFrame:
+        """query_id, row_id and distance of up to k rows for each row of ``queries``, however many there are.
+
+        Queries and rows are joined by cell, so neither side is collected.
+        """
+        rows, centres, column, metric, _, probes = self._held[name]
+
+        def cells(batches):
+            for pdf in batches:
+                q = _scaled(np.array(pdf["q"].tolist(), np.float64).reshape(len(pdf), -1), metric)
+                yield pdf.assign(cells=_ranked_cells(q, centres)[:, :probes].tolist()) if len(pdf) else pdf.assign(cells=None)
+
+        asked = queries.where(F.col(query).isNotNull()).select(F.col(query_id).cast("long").alias("__q"), F.col(query).cast("array<double>").alias("q"))
+        asked = asked.mapInPandas(cells, "__q long, q array<double>, cells array<long>").select("__q", "q", F.explode("cells").alias("__cell"))
+        found = rows.join(asked, F.col("__list") == F.col("__cell")).select("__q", F.col(row_id).alias("__r"), distance(F.col(column), F.col("q"), metric).alias("d")).where("d IS NOT NULL")
+        rank = F.row_number().over(Window.partitionBy("__q").orderBy("d", "__r"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("__q").alias(query_id), F.col("__r").alias(row_id), F.col("d").alias("distance"))
 
     def search(self, name: str, query: Sequence[float], k: int = 10, n_probes: int | None = None, tie: str | None = None) -> DataFrame:
         """Up to k rows of the probed cells; fewer are possible."""
         if name not in self._held:
             raise KeyError(f"no index {name}")
-        rows, centres, column, metric, columns = self._held[name]
+        rows, centres, column, metric, columns, probes = self._held[name]
         q = _scaled(np.array([query], np.float64), metric)
-        probes = min(n_probes or DEFAULT_PROBES, len(centres))
-        near = np.argsort(((centres - q) ** 2).sum(1), kind="stable")[:probes]
+        near = _ranked_cells(q, centres)[0, : n_probes or probes]
         return knn_search(rows.where(F.col("__list").isin(near.tolist())), column, query, k, metric, columns, tie)
 
     def drop(self, name: str) -> None:
@@ -139,6 +165,23 @@ class VectorIndexes:
         self._held.pop(name)[0].unpersist()
 
 
+def _ranked_cells(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """All cells for each query, the nearest first."""
+    return np.argsort((centres**2).sum(1)[None] - 2 * q @ centres.T, axis=1, kind="stable")
+
+
+def _probes_for(rows: DataFrame, centres: np.ndarray, column: str, metric: str, seed: int) -> int:
+    """How many cells hold the share RECALL of the exact neighbours of held-back queries."""
+    held = rows.select(column).orderBy(F.xxhash64(column, F.lit(seed + 1))).limit(HELD_BACK).collect()
+    queries = [(k, [float(x) for x in r[0]]) for k, r in enumerate(held)]
+    asked = rows.sparkSession.createDataFrame(queries, "__q long, q array<double>")
+    # The cell of each neighbour stands for its id; the nearest one is the query itself.
+    exact = knn_join(asked, rows, "__q", "q", "__list", column, NEIGHBOURS + 1, metric).where("rank > 1").select("__q", "__list").collect()
+    ranked = np.argsort(_ranked_cells(_scaled(np.array([q for _, q in queries]), metric), centres), axis=1, kind="stable")
+    at = np.sort([ranked[r["__q"], r["__list"]] for r in exact])
+    return int(at[int(np.ceil(RECALL * len(at))) - 1]) + 1 if len(at) else len(centres)
+
+
 def _scaled(x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         return x

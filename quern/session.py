@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the library's results or plans rely on. Sizes are for a start:
 #: adaptive execution merges small shuffle partitions and splits skewed ones.
@@ -27,3 +29,17 @@ def build_session(app: str = "quern", master: str | None = None, **settings: str
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df``, written to the folder that driver and executors share: later reads see the same rows and partitions.
+
+    The folder is ``spark.checkpoint.dir``; one is made only where all runs on one machine.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-"))
+    return df.checkpoint()

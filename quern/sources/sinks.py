@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 def write_parquet(df: DataFrame, path: str, partition_by=(), rows_per_file: int | None = None, mode: str = "errorifexists") -> None:
     """Parquet files, in a folder per value of the partition columns.
 
-    Rows are dealt by the partition columns and a hash of the row, so that a
-    folder gets few files and a large one isn't written by one task;
+    Rows are dealt by the partition columns, and adaptive execution splits a
+    large folder among tasks by its size and lets small ones share a task;
     ``rows_per_file`` cuts files.
     """
     out = df
     if partition_by:
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-        out = df.repartition(*partition_by, spread)
+        out = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = out.write.mode(mode)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
@@ -40,13 +39,24 @@ def append(spark: SparkSession, df: DataFrame, table: str) -> None:
 
 
 def arrow_batches(df: DataFrame, max_rows: int = 10_000) -> Iterator[pa.RecordBatch]:
-    """The rows as Arrow batches, one partition on the driver at a time."""
-    names, rows = df.columns, []
-    schema = df.limit(0).toArrow().schema
-    for row in df.toLocalIterator():
-        rows.append(tuple(row))
-        if len(rows) == max_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names=names)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names=names)
+    """The rows as Arrow batches of ``max_rows``, one partition on the driver at a time; tasks make the batches."""
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, max_rows):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, batch.schema) as stream:
+                    stream.write_batch(batch.slice(at, max_rows))
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["data"])
+
+    held, n = [], 0
+    for row in df.mapInArrow(pack, "data binary").toLocalIterator(prefetchPartitions=True):
+        with pa.ipc.open_stream(row["data"]) as stream:
+            held += stream
+        n = sum(b.num_rows for b in held)
+        while n >= max_rows:
+            table = pa.Table.from_batches(held)
+            yield table.slice(0, max_rows).combine_chunks().to_batches()[0]
+            held, n = table.slice(max_rows).to_batches(), n - max_rows
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

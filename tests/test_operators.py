@@ -114,20 +114,27 @@ def test_knn_rejects_bad_arguments_and_skips_nulls(spark):
         vector.knn_search(df, "v", [0.0, 0.0], 1, "manhattan")
 
 
-def test_ivf_recall(spark):
+@pytest.mark.parametrize("n_lists", [None, 16, 256])
+def test_ivf_recall_with_the_measured_probes(spark, n_lists):
     e = Tables(spark, FOLDER).embeddings
     indexes = vector.VectorIndexes(spark)
-    indexes.create("e", e, "embedding", n_lists=16)
-    queries = [r["embedding"] for r in e.where("vec_id % 100 = 0").collect()]
-    hits = total = 0
-    for q in queries:
-        exact = {r[0] for r in vector.knn_search(e, "embedding", q, 10, output=["vec_id"]).collect()}
-        found = {r[0] for r in indexes.search("e", q, 10, n_probes=14).select("vec_id").collect()}
-        hits, total = hits + len(exact & found), total + len(exact)
-    assert hits / total >= 0.9
+    indexes.create("e", e, "embedding", n_lists=n_lists)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+    exact = {tuple(r) for r in vector.knn_join(q, e, "q_id", "q", "vec_id", "embedding", 10).select("q_id", "vec_id").collect()}
+    found = {tuple(r) for r in indexes.search_all("e", q, "q_id", "q", "vec_id").select("q_id", "vec_id").collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    first = q.first()
+    alone = {r["vec_id"] for r in indexes.search("e", first["q"], 10, tie="vec_id").collect()}
+    assert alone == {r for k, r in found if k == first["q_id"]}
     indexes.drop("e")
     with pytest.raises(KeyError):
-        indexes.search("e", queries[0])
+        indexes.search("e", first["q"])
+
+
+def test_error_is_raised_where_a_row_takes_the_branch(spark):
+    df = spark.range(3).select(F.when(F.col("id") > 1, F.raise_error(F.lit("no")).cast("string")).otherwise("fine").alias("e"))
+    with pytest.raises(Exception, match="no"):
+        df.collect()
 
 
 def test_knn_join_cosine_matches_numpy(spark):
