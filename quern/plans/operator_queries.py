@@ -647,6 +647,22 @@ def stream_tumbling(spark, d):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "n", "s")
 
 
+@query("""SELECT time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS window_start,
+  time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 2) AS s
+FROM events, range(2) r(k) GROUP BY ALL""")
+def stream_sliding(spark, d):
+    out = streams.windowed(Tables(spark, d).events, "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("s")], "30 minutes")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "n", "s")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM o)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, sid""")
+def stream_sessions(spark, d):
+    out = streams.session_windows(Tables(spark, d).events, "ts", "12 hours", ["user_id"], [F.count(F.lit(1)).alias("n")])
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
 # More sources, sinks and expressions
 
 
