@@ -277,8 +277,9 @@ WHERE p_brand <> 'Brand#45' AND p_size IN (49, 14, 23, 45, 19, 3, 36, 9)
 def q17(spark, d):
     t = Tables(spark, d)
     parts = t.part.where("p_size < 20").select("p_partkey")
-    mean = t.lineitem.groupBy(F.col("l_partkey").alias("ak")).agg((0.4 * F.avg("l_quantity")).alias("low"))
-    out = t.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(mean, (F.col("l_partkey") == F.col("ak")) & (F.col("l_quantity") < F.col("low")))
+    own = t.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    mean = own.groupBy(F.col("l_partkey").alias("ak")).agg((0.4 * F.avg("l_quantity")).alias("low"))
+    out = own.join(mean, (F.col("l_partkey") == F.col("ak")) & (F.col("l_quantity") < F.col("low")))
     return out.agg(F.round(F.sum("l_extendedprice") / 7.0, 2).alias("avg_yearly"))
 
 
