@@ -79,6 +79,8 @@ GROUP_ROWS = 500_000
 CLASSES = 32
 #: Standard deviations above the mean that an error budget allows.
 SLACK = 4.5
+#: Fingerprints that go along with a key, whatever the number of keys.
+CARRIED = 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -329,8 +331,10 @@ class Sketch:
     """How sets are fingerprinted: fingerprints, keys of them and error budgets.
 
     ``words`` fingerprints of 64 bits are cut into ``tables`` keys of ``bits``
-    bits. ``word_budget`` and ``budget`` are the bits in which one and all
-    fingerprints of two similar sets may differ.
+    bits. ``carried`` fingerprints go along with each key, its own not among
+    them where there are others. ``word_budget``, ``carried_budget`` and
+    ``budget`` are the bits in which one, the carried and all fingerprints of
+    two similar sets may differ.
     """
 
     def __init__(self, rows: int, similar=SIMILAR, miss: float = MISS):
@@ -341,7 +345,9 @@ class Sketch:
         self.tables = ceil(log(miss) / log(1 - (1 - differ) ** self.bits))
         self.per_word = 64 // self.bits
         self.words = max(ceil(self.tables / self.per_word), 2)
-        self.word_budget, self.budget = (ceil(n * differ + SLACK * sqrt(n * differ * (1 - differ))) for n in (64, 64 * self.words))
+        self.carried = min(self.words, CARRIED)
+        bits = (64, 64 * self.carried, 64 * self.words)
+        self.word_budget, self.carried_budget, self.budget = (ceil(n * differ + SLACK * sqrt(n * differ * (1 - differ))) for n in bits)
         rng = np.random.default_rng(42)
         self.flips, self.factors = (rng.integers(0, 1 << 63, self.words, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -395,17 +401,18 @@ def _candidates(sketch: Sketch, forest: bool, similar):
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for word, rows in pdf.groupby("word", sort=True):
-            fps = rows[[f"w{k}" for k in range(sketch.words)]].to_numpy(np.int64).view(np.uint64)
-            sid, label, size = (rows[c].to_numpy() for c in ("sid", "label", "size"))
-            shared = np.stack(rows["shared"].to_numpy())
+        for _, rows in pdf.groupby("word", sort=True):
+            fps = rows[[f"c{k}" for k in range(sketch.carried)]].to_numpy(np.int64).view(np.uint64)
+            sid, size = (rows[c].to_numpy() for c in ("sid", "size"))
+            label = sid if forest else rows["label"].to_numpy()
+            shared = size[:, None] if forest else np.stack(rows["shared"].to_numpy())
             bucket = rows.groupby(["t", "key", "lo", "hi"]).ngroup().to_numpy()
             closest = [np.empty(0, np.int64)] * 3
 
             def near(i, j):
                 i, j = (x[label[i] != label[j]] for x in (i, j))
-                differ = sum(np.bitwise_count(fps[i, k] ^ fps[j, k]).astype(np.int64) for k in range(sketch.words))
-                i, j, differ = (x[differ <= sketch.budget] for x in (i, j, differ))
+                differ = sum(np.bitwise_count(fps[i, k] ^ fps[j, k]).astype(np.int64) for k in range(sketch.carried))
+                i, j, differ = (x[differ <= sketch.carried_budget] for x in (i, j, differ))
                 most = np.zeros(len(i), np.int64)
                 for c in shared.T:
                     most += np.minimum(c[i], c[j])
@@ -417,7 +424,7 @@ def _candidates(sketch: Sketch, forest: bool, similar):
                 closest[:] = [c[keep] for c in both]
                 return closest[0][:0], closest[0][:0]
 
-            i, j = trie_links(fps[:, int(word)].copy(), bucket, list(range(63, -1, -1)), sketch.word_budget, near)
+            i, j = trie_links(fps[:, 0].copy(), bucket, list(range(63, -1, -1)), sketch.word_budget, near)
             if forest:
                 i, j = closest[:2]
             out.append(pd.DataFrame({"a": np.maximum(sid[i], sid[j]), "b": np.minimum(sid[i], sid[j])}).drop_duplicates())
@@ -427,17 +434,19 @@ def _candidates(sketch: Sketch, forest: bool, similar):
 
 
 def candidate_pairs(sketched: DataFrame, sketch: Sketch, forest: bool, max_bucket: int, similar=SIMILAR) -> DataFrame:
-    """Pairs (a, b) of sets with a key in common that all fingerprints call similar; materialized.
+    """Pairs (a, b) of sets with a key in common that the carried fingerprints call similar; materialized.
 
-    ``sketched``: sid, w0, w1, ..., label (a component; pairs are between
-    different ones), size (of the set) and shared (an array, by classes of
-    shingles: how many of the set's another one may have. The sum of the lesser
-    counts bounds what two sets have in common).
+    ``sketched``: sid, w0, w1, ... and size (of the set); for other pairs than
+    a forest's also label (a component; pairs are between different ones) and
+    shared (an array, by classes of shingles: how many of the set's another one
+    may have. The sum of the lesser counts bounds what two sets have in common).
     """
-    words = [f"w{k}" for k in range(sketch.words)]
-    keyed = sketched.select("sid", "label", "size", "shared", *words, F.posexplode(F.array(*[sketch.key(t) for t in range(sketch.tables)])).alias("t", "key"))
+    also = ["sid", "size", *[c for c in ("label", "shared") if not forest]]
+    keyed = sketched.select(*also, F.array(*[f"w{k}" for k in range(sketch.words)]).alias("fps"), F.posexplode(F.array(*[sketch.key(t) for t in range(sketch.tables)])).alias("t", "key"))
     # The trie is that of a fingerprint which the key isn't part of.
     keyed = keyed.withColumn("word", F.pmod(F.floor(F.col("t") / sketch.per_word) + 1, F.lit(sketch.words)).cast("int"))
+    carried = [F.get("fps", F.pmod(F.col("word") + k, F.lit(sketch.words))).alias(f"c{k}") for k in range(sketch.carried)]
+    keyed = keyed.select(*also, *carried, "t", "key", "word")
     groups = dealt_to_tasks(keyed, ["t", "key"], "sid", max_bucket)
     return materialize(groups.applyInPandas(_candidates(sketch, forest, similar), "a long, b long").distinct(), "candidates")
 
@@ -479,20 +488,24 @@ def set_links(rows: DataFrame, sketch: Sketch, shingle: int = SET_SHINGLE, simil
     words = [F.get("fps", F.lit(k)).alias(f"w{k}") for k in range(sketch.words)]
     named = materialize(rows.where("size > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.first("size").alias("size"), F.first("fps").alias("fps")), "sets")
     sketched = named.select("sid", "size", *words)
-    pairs = candidate_pairs(sketched.withColumns({"label": F.col("sid"), "shared": F.array("size")}), sketch, True, max_bucket, similar)
+    pairs = candidate_pairs(sketched, sketch, True, max_bucket, similar)
+    release(rows.sparkSession)
     asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "asked")
     # Copies of one set share its name; any of their texts has the same shingles.
     firsts = materialize(named.select("sid", "rid").join(asked, "sid", "left_semi"), "firsts")
     texts, _ = possible_hits(rows.select("rid", "text"), "rid", firsts.select("rid"))
     texts = texts.join(firsts, "rid").select("sid", "text")
     sets = materialize(texts.select("sid", _hash_sets(shingle)("text").alias("hashes")), "hashes")
+    del texts
     links = materialize(_checked(pairs, sets, similar), "links")
+    release(rows.sparkSession)
     labels = connected_components(links)
     # Only sets with a candidate can have more of them, and only if enough of their shingles are found in another one.
     again = sketched.join(shared_counts(sets), "sid")
     again = again.where(two * F.aggregate("shared", F.lit(0), lambda x, y: x + y) >= one * F.col("size"))
     again = again.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     again = materialize(again.select("*", F.coalesce("component", "sid").alias("label")).drop("component"), "again")
+    release(rows.sparkSession)
     more = candidate_pairs(again, sketch, False, max_bucket, similar)
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
     out = materialize(links.unionByName(_checked(more, sets, similar)), "links")

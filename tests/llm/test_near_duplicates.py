@@ -90,6 +90,25 @@ def test_pairs_at_the_threshold_are_found():
         assert missed <= 0.01 * n
 
 
+def test_carried_fingerprints_find_pairs_at_the_threshold():
+    rng = random.Random(7)
+    for rows in (1_000, 10_000_000, 10_000_000_000):
+        sketch, missed, n = simhash.Sketch(rows), 0, 400
+        assert sketch.carried == min(sketch.words, simhash.CARRIED)
+        for _ in range(n):
+            hashes = [rng.getrandbits(64) for _ in range(50)]
+            a, b = (simhash.np.array(sorted(x), simhash.np.uint64) for x in (hashes[:45], hashes[5:]))
+            fa, fb = ([v % (1 << 64) for v in sketch.fingerprints(x)] for x in (a, b))
+            found = False
+            for t in range(sketch.tables):
+                word, shift = t // sketch.per_word, t % sketch.per_word * sketch.bits
+                same = (fa[word] ^ fb[word]) >> shift & ((1 << sketch.bits) - 1) == 0
+                bits = [(fa[w] ^ fb[w]).bit_count() for w in ((word + 1 + k) % sketch.words for k in range(sketch.carried))]
+                found |= same and bits[0] <= sketch.word_budget and sum(bits) <= sketch.carried_budget
+            missed += not found
+        assert missed <= 0.01 * n
+
+
 def test_repeated_and_missing_ids(spark):
     rng = random.Random(3)
     a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3))
