@@ -16,7 +16,7 @@ they agree, and something larger than any rank if not.
 The fold has two forms with equal results. The main one works on all pieces of
 a block at once, as arrays. The other, ``fold="sql"``, sends each block's
 pieces through Spark's higher-order functions with the rank map as a literal;
-it takes about a hundred times the CPU seconds (see the README).
+it takes over four times the CPU seconds in all (see the README).
 
 Decoding looks each symbol's bytes up in a literal and concatenates the binary
 pieces, with higher-order functions.
