@@ -131,6 +131,37 @@ def test_ivf_recall_with_the_measured_probes(spark, n_lists):
         indexes.search("e", first["q"])
 
 
+@pytest.mark.parametrize("metric", vector.METRICS)
+def test_ivf_batch_answers_as_single_searches(spark, monkeypatch, metric):
+    # Small bounds: large cells are dealt to several shards, queries to several blocks, distances to several rounds.
+    monkeypatch.setattr(vector, "SHARDS", 400)
+    monkeypatch.setattr(vector, "SHARD_ROWS", (8, 32))
+    monkeypatch.setattr(vector, "ASKED_ROWS", 7)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(500, 6)).round(1).tolist() + [[0.5] * 6] * 200 + [[0.0] * 6] * 3 + [[1e-120] * 6, [1e-121] * 6, [1e120] * 6]
+    rows = [(k, v) for k, v in zip(rng.permutation(len(vectors)).tolist(), vectors)] + [(9000, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    indexes = vector.VectorIndexes(spark)
+    indexes.create("e", df, "v", metric, n_lists=9)
+    asked = [r for r in rows if r[1] is not None][::60] + [(9001, [0.5] * 6), (9002, [0.0] * 6), (9003, [1e-121] * 6)]
+    found = {}
+    for r in indexes.search_all("e", spark.createDataFrame([*asked, (9004, None)], "q_id long, q array<double>"), "q_id", "q", "id", 15).collect():
+        found.setdefault(r["q_id"], []).append((r["distance"], r["id"]))
+    for q_id, q in asked:
+        alone = indexes.search("e", q, 15, tie="id").collect()
+        assert [(np.float32(d), k) for d, k in sorted(found.get(q_id, []))] == [(np.float32(r["distance"]), r["id"]) for r in alone]
+    indexes.drop("e")
+
+
+def test_ivf_batch_makes_no_row_per_pair(spark):
+    e = Tables(spark, FOLDER).embeddings
+    indexes = vector.VectorIndexes(spark)
+    indexes.create("e", e, "embedding")
+    plan = plan_of(indexes.search_all("e", e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), "q_id", "q", "vec_id"))
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+    indexes.drop("e")
+
+
 def test_error_is_raised_where_a_row_takes_the_branch(spark):
     df = spark.range(3).select(F.when(F.col("id") > 1, F.raise_error(F.lit("no")).cast("string")).otherwise("fine").alias("e"))
     with pytest.raises(Exception, match="no"):
