@@ -40,6 +40,16 @@ def two_step_count_distinct(df: DataFrame, keys, value: str, name: str = "n") ->
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).count().groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def distinct_and_approx(df: DataFrame, keys, value: str, rsd: float = 0.05, exact: str = "n", approx: str = "approx") -> DataFrame:
+    """COUNT(DISTINCT value) per key beside its approximation.
+
+    Both are taken over the distinct pairs. In one aggregation Spark would keep
+    and shuffle a sketch for each pair, of 13 KB at an ``rsd`` of 0.01.
+    """
+    pairs = df.select(*keys, value).distinct()
+    return pairs.groupBy(*keys).agg(F.count(value).alias(exact), F.approx_count_distinct(value, rsd).alias(approx))
+
+
 def grouping_sets(df: DataFrame, sets, aggregates) -> DataFrame:
     """One result row per group of each set of keys, with the other keys null."""
     every = list(dict.fromkeys(k for s in sets for k in s))

@@ -430,8 +430,8 @@ def agg_lists(spark, d):
 @query("SELECT l_returnflag, count(DISTINCT l_partkey) AS n, TRUE AS near FROM lineitem GROUP BY l_returnflag")
 def agg_approx_distinct(spark, d):
     # The exact number is held against SQL, the approximate one against the exact one.
-    a = Tables(spark, d).lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.01).alias("a"), F.countDistinct("l_partkey").alias("n"))
-    return a.select("l_returnflag", "n", (F.abs(F.col("a") / F.col("n") - 1) < 0.05).alias("near"))
+    a = aggregates.distinct_and_approx(Tables(spark, d).lineitem, ["l_returnflag"], "l_partkey", 0.01, "n", "a")
+    return a.select("l_returnflag", "n", (F.abs(F.col("a") - F.col("n")) <= 0.05 * F.col("n")).alias("near"))
 
 
 @query("SELECT l_returnflag, sum(DISTINCT l_linenumber) AS s, avg(DISTINCT l_linenumber) AS m FROM lineitem GROUP BY l_returnflag")

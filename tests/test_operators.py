@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.engine import Engine
 from quern.functions import decimals, predicates, scalar
 from quern.operators import aggregates, joins, sorting, vector
+from quern.plans import registry
 from quern.plans.fixtures import fixture
 from quern.sources import tables as sources
 from quern.sources.tables import Tables
@@ -97,6 +98,23 @@ def test_dense_count_matches_the_join(spark):
     assert sorted(map(tuple, want.collect()), key=repr) == sorted(map(tuple, aggregates.dense_count(c, o, "c_id", "o_cust", "o_val").collect()), key=repr)
 
 
+def test_sketches_are_kept_per_group_not_per_pair(spark):
+    df = spark.range(20_000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 3 > 0, F.col("id") % 700).alias("v"))
+    out = aggregates.distinct_and_approx(df, ["g"], "v", 0.01)
+    want = df.groupBy("g").agg(F.countDistinct("v").alias("n"), F.approx_count_distinct("v", 0.01).alias("approx"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    # Sketches are merged per pair where distinct and other aggregates share an aggregation.
+    assert "merge_approx_count_distinct" in plan_of(want)
+    assert "merge_approx_count_distinct" not in plan_of(registry.QUERIES["agg_approx_distinct"](spark, FOLDER))
+
+
+def test_approximate_count_of_a_group_of_nulls_is_near(spark, tmp_path):
+    rows = [("A", k) for k in range(50)] + [("N", None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES["agg_approx_distinct"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("A", 50, True), ("N", 0, True)]
+
+
 def test_limit_percent_bounds(spark):
     with pytest.raises(ValueError):
         sorting.limit_percent(spark.range(3), ["id"], 101)
