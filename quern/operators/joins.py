@@ -138,10 +138,14 @@ def salted_join(left: DataFrame, right: DataFrame, pairs, salts: int, how: str =
 
     For inner, left and left semi or anti joins. Adaptive execution splits skewed
     partitions by itself where it can; this is for plans in which it can't.
+
+    Both sides are shuffled and sorted, which spills. The repeated side is never
+    broadcast: the planner's estimate has its size before it is repeated, and
+    each task would hold all of it.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the right side is repeated: only inner and left joins")
     l_rows = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
     r_rows = right.withColumn("__salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     on = keys_equal(l_rows, r_rows, pairs) & (F.col("__salt") == F.col("__salt2"))
-    return l_rows.join(r_rows, on, how).drop("__salt", "__salt2")
+    return l_rows.join(r_rows.hint("merge"), on, how).drop("__salt", "__salt2")

@@ -86,6 +86,17 @@ def test_mark_in_over_empty_side_is_false(spark):
     assert {r["mark"] for r in joins.mark_in(left, right, "k", "rk").collect()} == {False}
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_is_shuffled_and_matches_the_plain_one(spark, how):
+    left = spark.range(900).select("id", F.when(F.col("id") % 9 > 0, F.when(F.col("id") < 700, 1).otherwise(F.col("id"))).alias("k"))
+    right = spark.range(0, 1000, 3).union(spark.range(2)).select(F.col("id").alias("rk"))
+    got = joins.salted_join(left, right, [("k", "rk")], 4, how)
+    assert "BroadcastHashJoin" not in plan_of(got) and "SortMergeJoin" in plan_of(got)
+    want = left.join(right, F.col("k") == F.col("rk"), how)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert "BroadcastHashJoin" not in str(got._jdf.queryExecution().executedPlan())
+
+
 def test_numbering_is_dense_over_partitions(spark):
     df = spark.range(1000).repartition(7)
     got = joins.numbered(df, ["id"], "p").where("id <> p").count()
