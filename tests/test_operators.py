@@ -97,6 +97,11 @@ def test_salted_join_is_shuffled_and_matches_the_plain_one(spark, how):
     assert "BroadcastHashJoin" not in str(got._jdf.queryExecution().executedPlan())
 
 
+@pytest.mark.parametrize("name", ["join_salted", "join_salted_whole"])
+def test_salted_queries_hold_no_repeated_table_in_each_task(spark, name):
+    assert "BroadcastExchange" not in plan_of(registry.QUERIES[name](spark, FOLDER))
+
+
 def test_numbering_is_dense_over_partitions(spark):
     df = spark.range(1000).repartition(7)
     got = joins.numbered(df, ["id"], "p").where("id <> p").count()
