@@ -115,8 +115,7 @@ class VectorIndexes:
         sound = df.where(F.col(column).isNotNull())
         n = sound.count()
         lists = min(max(n_lists or int(n**0.5), 1), MOST_LISTS, max(n, 1))
-        sample = sound.select(column).orderBy(F.xxhash64(column, F.lit(seed))).limit(FIT_ROWS)
-        points = np.array([r[0] for r in sample.collect()], np.float64)
+        points = np.array([r[0] for r in _fit_rows(sound, column, n, seed)], np.float64)
         centres = _centres(_scaled(points, metric), lists, seed) if len(points) else np.zeros((1, 1))
 
         def assign(batches):
@@ -199,6 +198,22 @@ class VectorIndexes:
         self._held.pop(name)[0].unpersist()
 
 
+def _fit_rows(sound: DataFrame, column: str, n: int, seed: int) -> list:
+    """Up to FIT_ROWS of n vectors, those of the least hashes.
+
+    Each task sends the driver so many rows as are asked for. Of large tables
+    only hashes below a cut are sorted, which twice as many rows have; copies
+    share a hash, and if too few are below it, all are sorted.
+    """
+    hashed = sound.select(column, F.xxhash64(column, F.lit(seed)).alias("__h"))
+    if n > 4 * FIT_ROWS:
+        cut = (2 * FIT_ROWS << 64) // n - (1 << 63)
+        found = hashed.where(F.col("__h") < cut).orderBy("__h").limit(FIT_ROWS).collect()
+        if len(found) == FIT_ROWS:
+            return found
+    return hashed.orderBy("__h").limit(FIT_ROWS).collect()
+
+
 def _matrix(column) -> np.ndarray:
     """The vectors of an Arrow column in double precision, one per row; null components become NaN."""
     import pyarrow.compute as pc

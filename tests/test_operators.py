@@ -187,6 +187,15 @@ def test_ivf_batch_answers_as_single_searches(spark, monkeypatch, metric):
     indexes.drop("e")
 
 
+def test_fitted_vectors_are_those_of_the_least_hashes(spark, monkeypatch):
+    monkeypatch.setattr(vector, "FIT_ROWS", 100)
+    df = spark.range(3000).select(F.array(F.col("id").cast("double")).alias("v"))
+    copies = df.limit(20).union(spark.range(2000).select(F.array(F.lit(-1.0)).alias("v")))
+    for rows in (df, copies):
+        want = [r["v"] for r in rows.orderBy(F.xxhash64("v", F.lit(42))).limit(100).collect()]
+        assert [r["v"] for r in vector._fit_rows(rows, "v", rows.count(), 42)] == want
+
+
 def test_ivf_batch_makes_no_row_per_pair(spark):
     e = Tables(spark, FOLDER).embeddings
     indexes = vector.VectorIndexes(spark)
