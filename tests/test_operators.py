@@ -102,6 +102,13 @@ def test_salted_queries_hold_no_repeated_table_in_each_task(spark, name):
     assert "BroadcastExchange" not in plan_of(registry.QUERIES[name](spark, FOLDER))
 
 
+def test_salted_query_is_not_turned_into_a_broadcast_as_it_runs(spark):
+    df = registry.QUERIES["join_salted_whole"](spark, FOLDER)
+    assert len(df.collect()) == Tables(spark, FOLDER).lineitem.count()
+    plan = plan_of(df)
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_numbering_is_dense_over_partitions(spark):
     df = spark.range(1000).repartition(7)
     got = joins.numbered(df, ["id"], "p").where("id <> p").count()
